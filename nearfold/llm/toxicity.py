@@ -33,7 +33,7 @@ from .common import arrow_map, strings, table
 from .quality import training_rows
 
 BITS, WINDOW = 17, 32
-TRAIN_ROWS, TRAIN_CHARS = 6000, 20000
+TRAIN_ROWS, TRAIN_CHARS = 5000, 20000
 HELD_OUT = 2
 PREDICT_FROM = 0.3
 MEMO = 400_000
@@ -45,16 +45,23 @@ def held_out(doc_id) -> F.Column:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: the bare word, its prefixes of 3 to 6 letters, its last 4."""
+    """Hashed features of a word: the bare word, its prefixes of 3 to 8 letters, its last 4."""
     w = _EDGE.sub("", word.lower())
-    names = [f"w={w}", *(f"p{n}={w[:n]}" for n in range(3, 7) if len(w) > n), f"s={w[-4:]}"]
+    names = [f"w={w}", *(f"p{n}={w[:n]}" for n in range(3, 9) if len(w) > n), f"s={w[-4:]}"]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) >> (32 - BITS) for x in names]
 
 
+def summary(marginals: list[float]) -> list[float]:
+    """What the document score reads: summed squares (so that many faint words
+    of a long text don't add up to an offence), their density, the maximum, 1."""
+    mass = sum([p * p for p in marginals if p > 0.02])
+    return [float(np.log1p(mass)), float(np.log1p(100 * mass / (len(marginals) + 20))), max(marginals, default=0.0), 1.0]
+
+
 class Field:
     """Feature weights of state 1 against state 0, log transition table, calibration of the document score."""
 
-    def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, scale: tuple[float, float, float]):
+    def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, scale: tuple[float, ...]):
         self.weights, self.bias, self.trans, self.scale = weights, bias, trans, scale
         self.memo: dict[str, float] = {}
 
@@ -85,23 +92,47 @@ class Field:
         return out
 
     def score(self, marginals: list[float]) -> float:
-        a, b, c = self.scale
-        z = a * np.log1p(sum(marginals)) + b * max(marginals, default=0.0) + c
+        z = float(np.dot(self.scale, summary(marginals)))
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def token_labels(docs: list[list[list[int]]], toxic: np.ndarray) -> list[np.ndarray]:
-    """Per document and word: 1 if a feature marks toxic documents."""
-    seen = np.zeros((2, 1 << BITS))
-    for feats, y in zip(docs, toxic):
-        seen[int(y), list({f for fs in feats for f in fs})] += 1
-    n = np.array([max((toxic == 0).sum(), 1), max((toxic == 1).sum(), 1)])
-    rate = (seen + 0.5) / (n[:, None] + 1)
-    marks = (np.log(rate[1] / rate[0]) > 3.0) & (seen[1] >= max(3, 0.004 * n[1]))
-    return [np.array([bool(y) and any(marks[f] for f in fs) for fs in feats], dtype=np.int8) for feats, y in zip(docs, toxic)]
-
-
-def fit(texts: list[str], toxic: list[int], steps: int = 60) -> Field | None:
+def token_labels(docs: list[list[list[int]]], toxic: np.ndarray, cover: int = 4) -> list[np.ndarray]:
+    """Per document and word: 1 if the word has a feature that marks toxic documents.
+
+    Marks are chosen greedily: of the features that clean documents hardly
+    ever have, that which occurs in most toxic documents with fewer than
+    ``cover`` marks so far, until one more would gain under one in a hundred.
+    So chance words of a few copies aren't taken for toxic ones.
+    """
+    has = [np.array(sorted({f for fs in feats for f in fs}), dtype=np.int64) for feats in docs]
+    clean = np.zeros(1 << BITS)
+    for fs, y in zip(has, toxic):
+        if not y:
+            clean[fs] += 1
+    bad = [fs for fs, y in zip(has, toxic) if y]
+    n_bad, n_clean = max(len(bad), 1), max(len(docs) - len(bad), 1)
+    everywhere = np.zeros(1 << BITS)
+    for fs in bad:
+        everywhere[fs] += 1
+    usable = clean / n_clean <= 0.08 * everywhere / n_bad
+    left = np.full(len(bad), cover)
+    marks: set[int] = set()
+    gain = everywhere * usable
+    while True:
+        f = int(np.argmax(gain))
+        if gain[f] < max(3, 0.01 * n_bad):
+            break
+        marks.add(f)
+        usable[f], gain[f] = False, 0
+        for i, fs in enumerate(bad):
+            if left[i] and fs[min(np.searchsorted(fs, f), len(fs) - 1)] == f:
+                left[i] -= 1
+                if not left[i]:
+                    gain[fs] -= usable[fs]
+    return [np.array([bool(y) and not marks.isdisjoint(fs) for fs in feats], dtype=np.int8) for feats, y in zip(docs, toxic)]
+
+
+def fit(texts: list[str], toxic: list[int], steps: int = 40) -> Field | None:
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return None
@@ -118,7 +149,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 60) -> Field | None:
                 L.append(ls[i : i + WINDOW])
     if not X:
         return None
-    n, most = len(X), 6
+    n, most = len(X), 8
     idx = np.full((n, WINDOW, most), 1 << BITS, dtype=np.int32)
     lab, mask = np.zeros((n, WINDOW), np.int8), np.zeros((n, WINDOW), bool)
     for i, (fs, ls) in enumerate(zip(X, L)):
@@ -150,10 +181,6 @@ def fit(texts: list[str], toxic: list[int], steps: int = 60) -> Field | None:
         err = (m[:, :, 1] - lab) * mask
         g = np.bincount(idx.ravel(), weights=np.repeat(err.ravel(), most), minlength=len(w)) + 0.02 * w
         g[-1] = 0
-        expect = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                expect[a, b] = 0
         j = fw[:, :-1, :, None] * T[None, None] * (p[:, 1:] * bw[:, 1:])[:, :, None, :]
         j /= j.sum(axis=(2, 3), keepdims=True)
         expect = (j * both[:, :, None, None]).sum(axis=(0, 1))
@@ -164,13 +191,13 @@ def fit(texts: list[str], toxic: list[int], steps: int = 60) -> Field | None:
         bias -= 0.3 * err.sum() / np.sqrt(b2)
         t2 += gt * gt
         trans -= 0.2 * gt / np.sqrt(t2)
-    field = Field(w[:-1].astype(np.float32), float(bias), trans, (1.0, 1.0, 0.0))
+    field = Field(w[:-1].astype(np.float32), float(bias), trans, (1.0, 0.0, 1.0, 0.0))
     sums = [field.marginals(ws) for ws in words]
-    F2 = np.array([[np.log1p(sum(m)), max(m, default=0.0), 1.0] for m in sums])
-    coef = np.zeros(3)
+    F2 = np.array([summary(m) for m in sums])
+    coef = np.zeros(4)
     for _ in range(60):  # Newton steps of the document calibration
         q = 1 / (1 + np.exp(-np.clip(F2 @ coef, -30, 30)))
-        h = (F2 * (q * (1 - q))[:, None]).T @ F2 + np.eye(3) * 0.05
+        h = (F2 * (q * (1 - q))[:, None]).T @ F2 + np.eye(4) * 0.05
         coef -= np.clip(np.linalg.solve(h, F2.T @ (q - y) + 0.05 * coef), -2, 2)
     field.scale = tuple(coef.tolist())
     field.memo = {}
