@@ -20,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from functools import partial
@@ -36,7 +37,7 @@ BITS, WINDOW = 17, 32
 TRAIN_ROWS, TRAIN_CHARS = 5000, 20000
 HELD_OUT = 2
 PREDICT_FROM = 0.3
-MEMO = 400_000
+MEMO = 1_000_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -45,10 +46,18 @@ def held_out(doc_id) -> F.Column:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: the bare word, its prefixes of 3 to 8 letters, its last 4."""
-    w = _EDGE.sub("", word.lower())
-    names = [f"w={w}", *(f"p{n}={w[:n]}" for n in range(3, 9) if len(w) > n), f"s={w[-4:]}"]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) >> (32 - BITS) for x in names]
+    """Hashed features of a word: the bare word and its prefixes of 3 to 8 letters."""
+    w = word.lower()
+    if not (w[0].isalnum() and w[-1].isalnum()):
+        w = _EDGE.sub("", w)
+    crc, shift = zlib.crc32, 32 - BITS
+    b = w.encode("utf-8", "surrogatepass")
+    out = [crc(b, 1) >> shift]
+    if len(b) == len(w):
+        out += [crc(b[:n], n) >> shift for n in range(3, min(len(w), 9))]
+    else:
+        out += [crc(w[:n].encode("utf-8", "surrogatepass"), n) >> shift for n in range(3, min(len(w), 9))]
+    return out
 
 
 def summary(marginals: list[float]) -> list[float]:
@@ -64,24 +73,28 @@ class Field:
     def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, scale: tuple[float, ...]):
         self.weights, self.bias, self.trans, self.scale = weights, bias, trans, scale
         self.memo: dict[str, float] = {}
+        self.table = weights.tolist()
 
     def odds(self, word: str) -> float:
-        z = self.bias + float(self.weights[word_features(word)].sum())
-        return float(np.exp(np.clip(z, -30, 30)))
+        z = self.bias
+        for f in word_features(word):
+            z += self.table[f]
+        return math.exp(min(30.0, max(-30.0, z)))
 
     def marginals(self, words: list[str]) -> list[float]:
         """Probability of state 1 for each word, by ratio forms of the forward and backward passes."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
+        odds = self.odds
         for w in set(words).difference(memo):
-            memo[w] = self.odds(w)
+            memo[w] = odds(w)
         o = [memo[w] for w in words]
+        if not o:
+            return []
         (t00, t01), (t10, t11) = np.exp(self.trans).tolist()
-        r, forward = 0.0, []
-        for i, x in enumerate(o):
-            r = x * (t01 + t11 * r) / (t00 + t10 * r) if i else x
-            forward.append(r)
+        r = o[0]
+        forward = [r] + [r := x * (t01 + t11 * r) / (t00 + t10 * r) for x in o[1:]]
         b, out = 1.0, []
         for x, f in zip(reversed(o), reversed(forward)):
             q = f * b
