@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The six bytes that separate words: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows and bytes that go to a Python worker at once; bounds its memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 20000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

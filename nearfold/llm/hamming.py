@@ -1,10 +1,14 @@
 """Hamming-radius linking of 64-bit fingerprints through shared masked values.
 
 A plan is a list of masks such that any two fingerprints within the radius
-agree under at least one mask.  Fingerprints are grouped by (mask, value &
-mask); inside a group a spanning forest of the links is enough, because only
-connectivity is asked for.  Groups of many members are dealt over pairs of
-bounded chunks, so that no task holds an unbounded group and no link is lost.
+agree under at least one mask.  Rows are dealt out by a hash of (mask, value &
+mask) and sorted by it, and each run of equal keys is one group; inside a
+group a spanning forest of the links is enough, because only connectivity is
+asked for.  Groups of many members are dealt over pairs of bounded chunks, so
+that no task holds an unbounded group and no link is lost.
+
+Two rows are linked when they share a group, differ in at most k bits and,
+where a size is given, the lesser size is at least ``ratio`` of the greater.
 """
 
 from __future__ import annotations
@@ -23,34 +27,63 @@ CHUNK, SAMPLE = 256, 16
 
 
 def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """One row for each fingerprint and mask: columns of ``fps`` and m, v."""
-    each = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("v")) for i, x in enumerate(masks)])
-    return fps.select("*", F.explode(each).alias("mv")).select(*fps.columns, "mv.m", "mv.v")
+    """One row for each fingerprint and mask: columns of ``fps`` and g, the group's key.
+
+    Should two groups share a key, their pairs are verified like any others.
+    """
+    each = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(x)))) for i, x in enumerate(masks)])
+    return fps.select("*", F.explode(each).alias("g"))
 
 
-def grouped(ws: Workspace, fps: DataFrame, masks: list[int]) -> DataFrame:
-    """Groups of (id, fp) structs that share a masked value; at most about two chunks each.
+def dealt(ws: Workspace, fps: DataFrame, masks: list[int]) -> DataFrame:
+    """``fps`` and key: rows of a group meet under a key, large groups under one for each pair of chunks.
 
     Which groups count as large is told from a hash sample; that decides only
     how a group is dealt out, never which pairs meet.
     """
     sample = masked(fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLE)) == 0), masks)
-    hot = sample.groupBy("m", "v").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > CHUNK)
-    hot = ws.write(hot.select("m", "v", F.ceil(F.col("n") * SAMPLE / CHUNK).cast("int").alias("chunks")), "hot")
-    rows = masked(fps, masks).join(hot, ["m", "v"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.groupBy("m", "v", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"))
-    return rows.agg(F.collect_list(F.struct("id", "fp")).alias("members")).where(F.size("members") > 1)
-
-
-def spanning(ids: np.ndarray, fps: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the pairs within k bits."""
-    left, edges = np.arange(len(ids)), []
+    hot = sample.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > CHUNK)
+    hot = ws.write(hot.select("g", F.ceil(F.col("n") * SAMPLE / CHUNK).cast("int").alias("chunks")), "hot")
+    rows = masked(fps, masks).join(hot, "g", "left")
+    c = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("g", F.least(c, j), F.greatest(c, j)))
+    keys = F.when(F.isnull("chunks"), F.array("g")).otherwise(pairs)
+    return rows.select(*fps.columns, F.explode(keys).alias("key"))
+
+
+def in_runs(rows: DataFrame) -> DataFrame:
+    """Rows of equal key in one partition, next to each other."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key")
+
+
+def runs(batches):
+    """(columns by name, offsets of whole runs of equal key) from sorted batches."""
+    held = None
+    for b in batches:
+        new = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns)}
+        held = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
+        cut = np.flatnonzero(np.diff(held["key"])) + 1
+        if len(cut):
+            yield {n: c[: cut[-1]] for n, c in held.items()}, np.concatenate([[0], cut])
+            held = {n: c[cut[-1] :] for n, c in held.items()}
+    if held and len(held["key"]):
+        yield held, np.array([0, len(held["key"])])
+
+
+def _near(fps, sizes, x, y, k, ratio):
+    ok = np.bitwise_count(fps[x] ^ fps[y]) <= k
+    return ok & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y])) if ratio else ok
+
+
+def spanning(fps: np.ndarray, sizes: np.ndarray, k: int, ratio: float = 0.0) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the linked pairs."""
+    left, edges = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= k
+            near = _near(fps, sizes, x, left, k, ratio)
             if near.any():
                 found = left[near]
                 edges += [(x, y) for y in found]
@@ -59,71 +92,60 @@ def spanning(ids: np.ndarray, fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    col = batch.column(batch.schema.get_field_index(name))
-    flat = col.flatten()
-    off = col.offsets.to_numpy()
-    return off - off[0], flat.field("id").to_numpy(zero_copy_only=False), flat.field("fp").to_numpy(zero_copy_only=False)
+def _pairs(a, b):
+    a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _forest(batches, k: int):
-    for batch in batches:
-        off, ids, fps = _lists(batch, "members")
-        n = np.diff(off)
+def _forest(batches, k: int, ratio: float):
+    for cols, off in runs(batches):
+        ids, fps, sizes, n = cols["id"], cols["fp"], cols["size"], np.diff(off)
         two = off[:-1][n == 2]
-        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= k] if len(two) else two
+        two = two[_near(fps, sizes, two, two + 1, k, ratio)]
         a, b = [ids[two]], [ids[two + 1]]
         for i in np.flatnonzero(n > 2):
-            x, y = ids[off[i] : off[i + 1]], fps[off[i] : off[i + 1]]
-            if edges := spanning(x, y, k):
-                e = np.array(edges)
-                a.append(x[e[:, 0]])
-                b.append(x[e[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            s = slice(off[i], off[i + 1])
+            if edges := spanning(fps[s], sizes[s], k, ratio):
+                e = np.array(edges) + off[i]
+                a.append(ids[e[:, 0]])
+                b.append(ids[e[:, 1]])
+        yield _pairs(a, b)
 
 
-def forest_links(ws: Workspace, fps: DataFrame, masks: list[int], k: int) -> DataFrame:
-    """Links (a < b, ids) whose connected components are those of all pairs within k bits.
+def forest_links(ws: Workspace, fps: DataFrame, masks: list[int], k: int, ratio: float = 0.0) -> DataFrame:
+    """Links (a < b, ids) whose connected components are those of all linked pairs.
 
-    ``fps``: id long (unique), fp long.
+    ``fps``: id long (unique), fp long, size long.
     """
-    return arrow_map(grouped(ws, fps, masks).select("members"), partial(_forest, k=k), "a long, b long").where("a <> b").distinct()
+    return arrow_map(in_runs(dealt(ws, fps, masks)), partial(_forest, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 
-def _cross(batches, k: int):
-    for batch in batches:
-        col = batch.column(0)
-        flat, off = col.flatten(), col.offsets.to_numpy()
-        off = off - off[0]
-        ids, fps, label = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("id", "fp", "label"))
-        for i in range(len(off) - 1):
-            s = slice(off[i], off[i + 1])
-            x, y, z = ids[s], fps[s], label[s]
-            for j in range(len(x) - 1):
-                near = np.flatnonzero((np.bitwise_count(y[j + 1 :] ^ y[j]) <= k) & (z[j + 1 :] != z[j])) + j + 1
-                if len(near):
-                    o = np.full(len(near), x[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(o, x[near])), pa.array(np.maximum(o, x[near]))], ["a", "b"])
+def _cross(batches, k: int, ratio: float):
+    for cols, off in runs(batches):
+        ids, fps, sizes, label = (cols[n] for n in ("id", "fp", "size", "label"))
+        for i in np.flatnonzero(np.diff(off) > 1):
+            a, b = [], []
+            for x in range(off[i], off[i + 1] - 1):
+                y = np.arange(x + 1, off[i + 1])
+                y = y[(label[y] != label[x]) & _near(fps, sizes, x, y, k, ratio)]
+                a.append(np.full(len(y), ids[x]))
+                b.append(ids[y])
+            yield _pairs(a, b)
 
 
-def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, touched: DataFrame, masks: list[int], k: int) -> DataFrame:
-    """All pairs within k bits and of different labels, from the groups that hold a touched id.
+def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, touched: DataFrame, masks: list[int], k: int, ratio: float = 0.0) -> DataFrame:
+    """All linked pairs of different labels from the groups that hold a touched id.
 
     labels: node, root; touched: id.
     """
-    groups = grouped(ws, fps, masks).withColumn("g", F.struct("m", "v", "lo", "hi"))
-    flat = groups.select("g", F.explode("members").alias("x")).select("g", "x.id", "x.fp")
-    open_groups = flat.join(touched, "id", "left_semi").select("g").distinct()
-    flat = flat.join(open_groups, "g", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    lists = flat.groupBy("g").agg(F.collect_list(F.struct("id", "fp", F.coalesce("root", "id").alias("label"))).alias("members"))
-    return arrow_map(lists.select("members"), partial(_cross, k=k), "a long, b long").where("a <> b").distinct()
-
+    keys = ws.write(masked(fps.join(touched, "id", "left_semi"), masks).select("g").distinct(), "touched")
+    near = ws.write(masked(fps, masks).join(keys, "g", "left_semi").select("id").distinct(), "near")
+    some = fps.join(near, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left")
+    some = ws.write(some.select("id", "fp", "size", F.coalesce("root", "id").alias("label")), "labelled")
+    return arrow_map(in_runs(dealt(ws, some, masks)), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
-def block_masks(k: int, blocks: int, bits: int = 64) -> list[int]:
-    """Pigeonhole blocks: within k differing bits at least blocks - k blocks are equal; a mask for each such choice."""
-    from itertools import combinations
 
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    part = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [sum(part[i] for i in c) for c in combinations(range(blocks), blocks - k)]
+def block_masks(k: int, bits: int = 64) -> list[int]:
+    """Pigeonhole blocks: within k differing bits at least one of k + 1 blocks is equal; a mask for each block."""
+    edges = [bits * i // (k + 1) for i in range(k + 2)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]

@@ -1,10 +1,12 @@
 """Fuzzy line dedup over the corpus.
 
 Lines are normalised (ASCII lower case, words alone) and exact repeats fall
-together first.  Distinct lines get a 64-bit SimHash of their words and word
-pairs; lines that agree on enough pigeonhole blocks are compared, pairs within
-RADIUS bits are verified by edit similarity of the normalised lines, and one
-occurrence stays of each connected group: the first by (doc_id, line).
+together first.  Distinct lines get a 64-bit SimHash of their words and are
+joined on pigeonhole blocks: any two within BLOCK_RADIUS bits share a block,
+and so do most that are somewhat further.  Lines that share a block, differ in
+at most RADIUS bits and are of like length are verified by edit similarity of
+the normalised lines, and one occurrence stays of each connected group: the
+first by (doc_id, line).
 
 Inside a block group only a spanning forest of the near pairs is verified at
 first, as connectivity is all that counts.  Where a forest link fails the
@@ -21,88 +23,139 @@ ordered; an empty table gives an empty table; other columns are carried.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, fold_words, signed, table, utf8
+from .common import Workspace, arrow_map, table, utf8
 from .components import components
 from .hamming import block_masks, cross_links, forest_links
 
-RADIUS, BLOCKS = 3, 5
+BLOCK_RADIUS, RADIUS = 2, 8
 SIMILARITY = 0.8
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(line: bytes) -> bytes:
-    """Words in lower case without ASCII punctuation; the line itself where that leaves nothing."""
-    return b" ".join(fold_words(line) or line.split())
+def normal_lines(text: bytes) -> list[bytes]:
+    """Each line's words in lower case without ASCII punctuation; the words as they are where that leaves none."""
+    raw = text.split(b"\n")
+    folded = [b" ".join(x.split()) for x in text.lower().translate(_FOLD).split(b"\n")]
+    return [f or b" ".join(x.split()) for f, x in zip(folded, raw)]
+
 
+_FOLD = bytes(32 if b < 128 and b != 10 and not chr(b).isalnum() else b for b in range(256))
 
-def simhash(words: list[bytes]) -> int:
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    if len(h) > 1:
-        h = np.concatenate([h, (h[:-1] * _MIX) ^ np.roll(h, -1)[:-1]])
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
+
+def simhashes(lines: list[bytes]) -> np.ndarray:
+    """64-bit SimHash of the words of each line (none empty), as signed 64-bit integers."""
+    out, step = [np.zeros(0, np.int64)], 512
+    for i in range(0, len(lines), step):
+        words = [x.split(b" ") for x in lines[i : i + step]]
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum()))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel())
+    return np.concatenate(out)
 
 
 def _lines(batches):
-    """doc_id, row, text -> doc_id, row, line number, hash and SimHash of each line with a word."""
+    """doc_id, row, text -> doc_id, row, line number, hash, SimHash and length of each line with a word."""
     digest = xxhash.xxh64_intdigest
     for b in batches:
-        at, no, hs, fps = [], [], [], []
+        at, no, norms = [], [], []
         for i, text in enumerate(utf8(b.column(2))):
-            for j, line in enumerate(text.split(b"\n")):
-                norm = normal(line)
+            for j, norm in enumerate(normal_lines(text)):
                 if norm:
                     at.append(i)
                     no.append(j)
-                    hs.append(signed(digest(norm, 7)))
-                    fps.append(signed(simhash(norm.split(b" "))))
+                    norms.append(norm)
         at = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "row", "line", "id", "fp"])
+        hs = np.fromiter((digest(x, 7) for x in norms), dtype=np.uint64, count=len(norms)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs), pa.array(simhashes(norms)), pa.array(map(len, norms), pa.int32())], ["doc_id", "row", "line", "id", "fp", "size"])
 
 
 def _pick(batches):
-    """row, text, wanted (structs of line, id) -> id, norm for the wanted lines."""
+    """text, wanted (structs of line, id) -> id, norm for the wanted lines."""
     for b in batches:
         ids, norms = [], []
         for text, wanted in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-            lines = text.split(b"\n")
+            lines = normal_lines(text)
             for w in wanted:
                 ids.append(w["id"])
-                norms.append(normal(lines[w["line"]]))
+                norms.append(lines[w["line"]])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.binary()).cast(pa.string())], ["id", "norm"])
 
 
 def _texts(ws: Workspace, keyed: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
     """id, norm of the given ids, from each line's first occurrence."""
-    wanted = lines.join(ids.distinct(), "id", "left_semi").groupBy("best.row").agg(F.collect_list(F.struct("best.line", "id")).alias("wanted"))
-    return ws.write(arrow_map(keyed.join(wanted, "row").dropDuplicates(["row"]).select("text", "wanted"), _pick, "id long, norm string"), "norms")
+    wanted = lines.join(ids, "id", "left_semi").groupBy("best.row").agg(F.collect_list(F.struct("best.line", "id")).alias("wanted"))
+    # Hashing the small side spares a sort of whole texts.
+    found = arrow_map(keyed.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted"), _pick, "id long, norm string")
+    return ws.write(found.dropDuplicates(["id"]), "norms")
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit-parallel columns (Myers; Hyyro's form), after equal ends are cut."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    where: dict[str, int] = {}
+    for k, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << k
+    full, top, dist = (1 << len(b)) - 1, 1 << (len(b) - 1), len(b)
+    up, down = full, 0  # rows where the column rises, falls
+    for c in a:
+        eq = where.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | (full & ~(across | up)), up & across
+        if rise & top:
+            dist += 1
+        elif fall & top:
+            dist -= 1
+        rise, fall, along = (rise << 1 | 1) & full, fall << 1 & full, eq | down
+        up, down = fall | (full & ~(along | rise)), rise & along
+    return dist
+
+
+def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Whether the edit distance is at most (1 - similarity) of the longer line."""
+    return edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+
+
+def _verify(batches):
+    for b in batches:
+        ok = [similar(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def verify(links: DataFrame, norms: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Adds ok: the edit distance is at most (1 - similarity) of the longer line."""
-    pairs = links.join(norms.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    longest = F.greatest(F.length("x"), F.length("y"))
-    room = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    far = F.abs(F.length("x") - F.length("y")) > room
-    pairs = pairs.withColumn("room", room).withColumn("far", far)
-    return pairs.select("a", "b", F.when(F.col("far"), F.lit(False)).otherwise(F.expr("levenshtein(x, y, room) >= 0")).alias("ok"))
+def verify(links: DataFrame, norms: DataFrame) -> DataFrame:
+    """Adds ok: the two lines are similar."""
+    one = lambda id_, text: norms.select(F.col("id").alias(id_), F.col("norm").alias(text))
+    pairs = links.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
+    return arrow_map(pairs, _verify, "a long, b long, ok boolean")
 
 
 def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` with its row key, and (row, keep): the numbers of the lines to keep, for rows that keep any."""
     ws = Workspace(docs.sparkSession, "lines")
     keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = ws.write(arrow_map(keyed.select(F.col("doc_id").cast("long"), "row", "text"), _lines, "doc_id long, row long, line int, id long, fp long"), "lines")
+    found = ws.write(arrow_map(keyed.select(F.col("doc_id").cast("long"), "row", "text"), _lines, "doc_id long, row long, line int, id long, fp long, size int"), "lines")
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row", "line")
-    lines = ws.write(found.groupBy("id").agg(F.min(first).alias("best"), F.min("fp").alias("fp")), "distinct")
-    nodes, masks = lines.select("id", "fp"), block_masks(RADIUS, BLOCKS)
-    links = ws.write(forest_links(ws, nodes, masks, RADIUS), "links")
+    lines = ws.write(found.groupBy("id").agg(F.min(first).alias("best"), F.min("fp").alias("fp"), F.min("size").cast("long").alias("size")), "distinct")
+    nodes, masks = lines.select("id", "fp", "size"), block_masks(BLOCK_RADIUS)
+    links = ws.write(forest_links(ws, nodes, masks, RADIUS, SIMILARITY), "links")
     ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     checked = ws.write(verify(links, _texts(ws, keyed, lines, ids)), "checked")
     good = checked.where("ok").select("a", "b")
@@ -110,7 +163,7 @@ def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = checked.where("not ok")
     if failed.limit(1).count():
         touched = ws.write(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "touched")
-        more = ws.write(cross_links(ws, nodes, roots, touched, masks, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = ws.write(cross_links(ws, nodes, roots, touched, masks, RADIUS, SIMILARITY).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
         ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         extra = ws.write(verify(more, _texts(ws, keyed, lines, ids)).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():
@@ -130,7 +183,7 @@ def _rebuild(batches):
         for text, keep in zip(b.column(names.index("text")).to_pylist(), b.column(names.index("__keep")).to_pylist()):
             lines = text.split("\n") if text else []
             keep = set(keep or ())
-            real = [bool(normal(x.encode())) for x in lines]
+            real = [bool(x) for x in normal_lines(text.encode())] if text else []
             dropped = sum(r and i not in keep for i, r in enumerate(real))
             if dropped:
                 text = "\n".join(x for i, x in enumerate(lines) if i in keep or not real[i]) if keep else ""
@@ -146,7 +199,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import LongType, StructType
 
     keyed, kept = keepers(docs.drop("row") if "row" in docs.columns else docs)
-    joined = keyed.join(kept.select(F.col("row").alias("__row"), F.col("keep").alias("__keep")), keyed["row"] == F.col("__row"), "left")
+    kept = kept.select(F.col("row").alias("__row"), F.col("keep").alias("__keep")).hint("shuffle_hash")
+    joined = keyed.join(kept, keyed["row"] == F.col("__row"), "left")
     fields = StructType([f for f in keyed.schema.fields if f.name != "row"]).add("__lines", LongType()).add("__dropped", LongType())
     return arrow_map(joined.drop("row", "__row"), _rebuild, fields)
 

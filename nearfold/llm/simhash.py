@@ -169,7 +169,7 @@ def _classify(docs: DataFrame, words: int, radius: int) -> tuple[DataFrame, Data
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")
     classes = ws.write(fps.groupBy("fp").agg(F.min(first).alias("best")), "classes")
     joint, n = bit_statistics(classes)
-    links = forest_links(ws, classes.select(F.col("fp").alias("id"), "fp"), plan_masks(joint, n, radius), radius)
+    links = forest_links(ws, classes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("size")), plan_masks(joint, n, radius), radius)
     roots = ws.write(components(ws, links), "roots")
     linked = ws.write(classes.join(roots, classes.fp == roots.node).select("fp", "best", "root"), "linked")
     tops = ws.write(linked.groupBy("root").agg(F.min("best").alias("top")), "tops")
