@@ -1,6 +1,8 @@
-"""Registry of the engine's queries and their oracle SQL."""
+"""The engine's queries: importing this module registers them all."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from nearfold import registry
+from nearfold.plans import graph_queries, kernel_queries, record_queries, search_queries, source_queries  # noqa: F401
+
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
