@@ -24,6 +24,8 @@ from .common import Workspace, arrow_map, signed
 
 #: Members of a chunk of a large group, and the share of fingerprints (one in so many, by hash) from which large groups are told.
 CHUNK, SAMPLE = 256, 16
+#: Rows of a run up to which all its pairs are compared at once.
+SHORT = 12
 
 
 def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -62,6 +64,7 @@ def runs(batches):
     held = None
     for b in batches:
         new = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns)}
+        new["fp"] = new["fp"].view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
         held = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
         cut = np.flatnonzero(np.diff(held["key"])) + 1
         if len(cut):
@@ -100,10 +103,16 @@ def _pairs(a, b):
 def _forest(batches, k: int, ratio: float):
     for cols, off in runs(batches):
         ids, fps, sizes, n = cols["id"], cols["fp"], cols["size"], np.diff(off)
-        two = off[:-1][n == 2]
-        two = two[_near(fps, sizes, two, two + 1, k, ratio)]
-        a, b = [ids[two]], [ids[two + 1]]
-        for i in np.flatnonzero(n > 2):
+        a, b = [], []
+        # Short runs: every pair at once, by distance in the run. Long runs: a spanning forest each.
+        left = np.repeat(off[1:], n) - np.arange(off[-1])
+        left[np.repeat(n > SHORT, n)] = 0
+        for lag in range(1, int(left.max(initial=1))):
+            x = np.flatnonzero(left > lag)
+            x = x[_near(fps, sizes, x, x + lag, k, ratio)]
+            a.append(ids[x])
+            b.append(ids[x + lag])
+        for i in np.flatnonzero(n > SHORT):
             s = slice(off[i], off[i + 1])
             if edges := spanning(fps[s], sizes[s], k, ratio):
                 e = np.array(edges) + off[i]
