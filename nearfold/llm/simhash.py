@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map, signed, utf8
 from .components import components
-from .hamming import forest_links
+from .hamming import cross_links, forest_links
 
 SEED = 42
+#: Cost of a row dealt to a group against that of a pair compared in memory.
+ROW_COST, PAIR_COST = 200.0, 3.0
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -142,7 +144,7 @@ def masks_of(part: list[int], threshold: int) -> list[int]:
 
 
 def plan_masks(joint: np.ndarray, n: int, radius: int, max_parts: int = 4) -> list[int]:
-    """The cheapest allocation over 1 + radius/2 ... parts; sum of thresholds is radius - parts + 1."""
+    """The cheapest allocation over all numbers of parts; the thresholds' sum is radius - parts + 1."""
     found = []
     for parts in range(2, max(max_parts, radius + 1) + 1):
         bits = group_bits(joint, n, parts)
@@ -151,7 +153,7 @@ def plan_masks(joint: np.ndarray, n: int, radius: int, max_parts: int = 4) -> li
             row = []
             for t in range(-1, radius + 1):
                 probes = len(masks_of(part, t)) if t <= 2 else 10**9
-                row.append(probes * n * 4.0 + n * n / 2 * collision(joint, n, part, t))
+                row.append(probes * n * ROW_COST + n * n / 2 * collision(joint, n, part, t) * PAIR_COST)
             cost.append(row)
         c, ts = allocate(cost, radius - parts + 1)
         found.append((c, [m for part, t in zip(bits, ts) for m in masks_of(part, t)]))
@@ -161,7 +163,60 @@ def plan_masks(joint: np.ndarray, n: int, radius: int, max_parts: int = 4) -> li
 # --- operator ----------------------------------------------------------------
 
 
-def _classify(docs: DataFrame, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, in order."""
+    parts = text.lower().split()
+    n = max(len(parts) - words + 1, 1 if parts else 0)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def _sets(batches, words: int):
+    """..., text -> ..., set (its shingles' hashes)."""
+    for b in batches:
+        sets = [shingles(t, words).view(np.int64) for t in utf8(b.column(b.num_columns - 1))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*b.schema.names[:-1], "set"])
+
+
+def _alike(batches, similarity: float):
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+
+def _checked(ws: Workspace, docs: DataFrame, classes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b, ok for links between fingerprints: their first documents' shingle sets have that Jaccard similarity."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = classes.join(ends, "fp", "left_semi").select("fp", "best.row")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    found = keyed.join(wanted.hint("shuffle_hash"), "row").select("fp", "text")
+    sets = ws.write(arrow_map(found, partial(_sets, words=words), "fp long, set array<long>").dropDuplicates(["fp"]), "sets")
+    one = lambda end, name: sets.select(F.col("fp").alias(end), F.col("set").alias(name))
+    pairs = links.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
+    return ws.write(arrow_map(pairs, partial(_alike, similarity=similarity), "a long, b long, ok boolean"), "checked")
+
+
+def _verified(ws: Workspace, docs: DataFrame, classes: DataFrame, nodes: DataFrame, masks: list[int], radius: int, words: int, similarity: float) -> DataFrame:
+    """Links whose components are those of all pairs within the radius and of the similarity.
+
+    As in line dedup: a spanning forest first, and where a link of it fails,
+    all pairs of its groups that are not connected yet.
+    """
+    links = ws.write(forest_links(ws, nodes, masks, radius), "links")
+    checked = _checked(ws, docs, classes, links, words, similarity)
+    good = checked.where("ok").select("a", "b")
+    touched = ws.write(checked.where("not ok").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
+    if not touched.limit(1).count():
+        return good
+    labels = ws.write(components(ws, good), "labels")
+    more = ws.write(cross_links(ws, nodes, labels, touched, masks, radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    return good.unionByName(_checked(ws, docs, classes, more, words, similarity).where("ok").select("a", "b"))
+
+
+def _classify(docs: DataFrame, words: int, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of doc_id, row (a key of the whole row), fp; and fp, best: the first row of its component."""
     ws = Workspace(docs.sparkSession, "simhash")
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -169,7 +224,11 @@ def _classify(docs: DataFrame, words: int, radius: int) -> tuple[DataFrame, Data
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")
     classes = ws.write(fps.groupBy("fp").agg(F.min(first).alias("best")), "classes")
     joint, n = bit_statistics(classes)
-    links = forest_links(ws, classes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("size")), plan_masks(joint, n, radius), radius)
+    nodes, masks = classes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("size")), plan_masks(joint, n, radius)
+    if similarity is None:
+        links = forest_links(ws, nodes, masks, radius)
+    else:
+        links = _verified(ws, docs, classes, nodes, masks, radius, words, similarity)
     roots = ws.write(components(ws, links), "roots")
     linked = ws.write(classes.join(roots, classes.fp == roots.node).select("fp", "best", "root"), "linked")
     tops = ws.write(linked.groupBy("root").agg(F.min("best").alias("top")), "tops")
@@ -179,16 +238,20 @@ def _classify(docs: DataFrame, words: int, radius: int) -> tuple[DataFrame, Data
     return fps, final
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp long, component_id (the least doc_id reachable) for every row of ``docs``."""
-    fps, final = _classify(docs, words, radius)
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp long, component_id (the least doc_id reachable) for every row of ``docs``.
+
+    Links are pairs of fingerprints within the radius and, where a similarity
+    is given, of that Jaccard similarity of shingle sets.
+    """
+    fps, final = _classify(docs, words, radius, similarity)
     return fps.join(final, "fp").select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float | None = 0.8) -> DataFrame:
     """One document of each component with all its columns: that of the least
     doc_id (null last). Of fully repeated rows one stays."""
-    _, final = _classify(docs, words, radius)
+    _, final = _classify(docs, words, radius, similarity)
     keep = final.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__row"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     same = (keyed["__key"] == keep["__row"]) & keyed["doc_id"].cast("long").eqNullSafe(keep["__doc"])

@@ -178,7 +178,7 @@ def _lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def _classes(fps):
+def _classes(fps, radius=2):
     """Least id of each id's component, by comparing all."""
     left, out = dict(fps), {}
     while left:
@@ -188,7 +188,7 @@ def _classes(fps):
             if i in left:
                 f = left.pop(i)
                 group.add(i)
-                todo += [j for j, g in left.items() if (f ^ g).bit_count() <= 2]
+                todo += [j for j, g in left.items() if (f ^ g).bit_count() <= radius]
         out |= {i: min(group) for i in group}
     return out
 
@@ -207,13 +207,47 @@ def test_simhash_edges(spark, docs, rows, empty):
     zero = {r.component_id for r in got if r.fp == 0}
     assert zero == {0}
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.drop_near_duplicates(docs, words=3)
+    kept = simhash.drop_near_duplicates(docs, words=3, radius=2, similarity=None)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({r.component_id for r in got} - {None} if all(r.component_id is not None for r in got) else {r.component_id for r in got})
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_generalised_pigeonhole_misses_nothing(spark, seed, monkeypatch):
+def test_near_copies_by_similarity(spark):
+    """All pairs within 8 bits and of Jaccard similarity 0.8 on 5-word shingles, by comparing all."""
+    rng = random.Random(11)
+    vocab = ["w%03d" % i for i in range(500)]
+    made = []
+    for i in range(150):
+        if i % 3 and made:
+            ws = rng.choice(made[-3:])[1].split()
+            for _ in range(rng.randrange(4)):
+                ws[rng.randrange(len(ws))] = rng.choice(vocab)
+        else:
+            ws = [rng.choice(vocab) for _ in range(rng.randrange(60, 200))]
+        made.append((i, " ".join(ws)))
+    sets = {i: set(simhash.shingles(t.encode(), 5).tolist()) for i, t in made}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in made}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if fps[a] == fps[b] or (fps[a] ^ fps[b]).bit_count() <= 8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 8, 0.8).collect()}
+    assert got == {i: find(i) for i in sets}
+    assert len(set(got.values())) < 150
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(got.values())
+
+
+@pytest.mark.parametrize("seed,radius", [(0, 2), (1, 2), (2, 3)])
+def test_generalised_pigeonhole_misses_nothing(spark, seed, radius, monkeypatch):
     """Near copies by the hundred, so that groups are dealt over chunks too."""
     monkeypatch.setattr(hamming, "CHUNK", 16)
     monkeypatch.setattr(hamming, "SAMPLE", 1)
@@ -227,10 +261,10 @@ def test_generalised_pigeonhole_misses_nothing(spark, seed, monkeypatch):
     ids = {common.signed(f): f for f in fps}
     df = spark.createDataFrame([(i, i, 0) for i in ids], "id long, fp long, size long")
     joint, n = simhash.bit_statistics(df)
-    masks = simhash.plan_masks(joint, n, 2)
+    masks = simhash.plan_masks(joint, n, radius)
     ws = common.Workspace(spark, "t")
-    roots = {r.node: r.root for r in components.components(ws, hamming.forest_links(ws, df, masks, 2)).collect()}
-    want = _classes(ids)
+    roots = {r.node: r.root for r in components.components(ws, hamming.forest_links(ws, df, masks, radius)).collect()}
+    want = _classes(ids, radius)
     assert {i: roots.get(i, i) for i in ids} == want
 
 

@@ -21,10 +21,8 @@ def test_stages(spark, data, tmp_path):
     lines = Counter(x for r in rows[2].values() for x in normal_lines((r.text or "").encode()) if x)
     assert lines and max(lines.values()) == 1
     assert all(r.n_chars == len(r.text) for r in rows[2].values())
-    groups = {}
-    for i, r in rows[2].items():
-        groups.setdefault(simhash.fingerprint(r.text.encode(), 5), []).append(i)
-    assert set(rows[3]) <= {min(g) for g in groups.values()}
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(frames[2], 5, 8, 0.8).collect()}
+    assert set(rows[3]) == set(classes.values()) and set(classes) == set(rows[2])
     leaked = {r.doc_id for r in decontaminate.leaks(frames[3], spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
     assert set(rows[4]) == set(rows[3]) - leaked
     assert set(rows[5]) == set(rows[4]) and all(r.same and r.n_tokens == len(r.ids) for r in rows[5].values())
