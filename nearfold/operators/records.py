@@ -9,16 +9,21 @@ from pyspark.sql.window import Window
 from nearfold.config import CHECKSUM_BUCKETS, MAX_SOURCES
 from nearfold.functions import bits
 
+#: Parts of a hot checksum, and keys of a block that one task numbers.
+SALTS, KEY_BLOCK = 64, 1 << 16
+
 
 def merge_by_checksum(rec: DataFrame, cap: int = MAX_SOURCES) -> DataFrame:
     """One record for each checksum: that of the least key, with all urls in key order, at most ``cap``.
 
-    Urls are numbered before they are gathered, so a hot checksum never holds
-    more than ``cap`` of them.
+    Urls are numbered before they are gathered, in salted parts first, so a hot
+    checksum never brings more than ``cap`` rows of each part together.
     """
-    w = Window.partitionBy("checksum").orderBy("key", "url")
-    ranked = rec.withColumn("rn", F.row_number().over(w))
-    ranked = ranked.where(F.col("rn") <= cap)
+    rec = rec.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)))
+    for part in (["checksum", "salt"], ["checksum"]):
+        w = Window.partitionBy(*part).orderBy("key", "url")
+        rec = rec.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
+    ranked = rec
     first = F.struct("key", "width", "height", "size")
     urls = F.transform(F.array_sort(F.collect_list(F.struct("rn", "url"))), lambda x: x["url"])
     return ranked.groupBy("checksum").agg(F.min(first).alias("f"), urls.alias("urls")).select("checksum", "f.*", "urls")
@@ -36,10 +41,18 @@ def bucket_starts(rec: DataFrame, buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
 
 
 def dense_ids(rec: DataFrame) -> DataFrame:
-    """Adds image_id 0..N-1 by (bucket, checksum, key): numbered inside each bucket, offset by its start."""
-    w = Window.partitionBy("bucket").orderBy("checksum", "key")
-    rows = rec.withColumn("bucket", bits.checksum_bucket(F.col("checksum"))).withColumn("at", F.row_number().over(w) - 1)
-    return rows.join(bucket_starts(rec), "bucket").withColumn("image_id", F.col("start") + F.col("at")).drop("at", "start", "bucket")
+    """Adds image_id 0..N-1 by (bucket, checksum, key).
+
+    Rows are numbered inside (checksum, block of keys), which no hot checksum
+    makes large; the blocks' counts give where each starts in its bucket.
+    """
+    rows = rec.withColumn("bucket", bits.checksum_bucket(F.col("checksum"))).withColumn("block", F.floor(F.col("key") / KEY_BLOCK))
+    part = ["bucket", "checksum", "block"]
+    before = Window.partitionBy("bucket").orderBy("checksum", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*part).count().select(*part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("inside"))
+    starts = starts.join(bucket_starts(rec), "bucket").select(*part, (F.col("start") + F.col("inside")).alias("start"))
+    at = F.row_number().over(Window.partitionBy(*part).orderBy("key")) - 1
+    return rows.withColumn("at", at).join(starts, part).withColumn("image_id", F.col("start") + F.col("at")).drop("at", "start", "bucket", "block")
 
 
 def containers(img: DataFrame) -> DataFrame:
