@@ -10,7 +10,7 @@ from nearfold.config import LOWE_RATIO
 from nearfold.functions import vectors
 
 
-def image_pairs(feat: DataFrame, fg: Column, bg: Column) -> DataFrame:
+def image_pairs(feat: DataFrame, fg: Column | str, bg: Column | str) -> DataFrame:
     """Feature pairs (q_*, i_*) of every foreground image with every other background image.
 
     The foreground is a small stated set of query images.

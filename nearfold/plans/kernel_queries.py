@@ -11,7 +11,7 @@ from nearfold.operators import kernels as k
 from nearfold.registry import query
 
 W = f"WITH {b.FEATURES}"
-FG, BG = F.col("image_id") % 25 == 0, F.col("image_id") % 5 == 1
+FG, BG = "image_id % 25 = 0", "image_id % 5 = 1"
 L2 = 'list_sum(list_transform(range(1, 65), lambda j: (q."desc"[j] - i."desc"[j]) * (q."desc"[j] - i."desc"[j])))::BIGINT'
 PAIRS = "feat q, feat i WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id"
 LABEL = "lab AS (SELECT *, (SELECT 1) FROM feat)"
