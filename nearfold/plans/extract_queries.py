@@ -129,15 +129,24 @@ def _proj(v: str, j: int) -> str:
     return "(" + " + ".join(f"{v}[{i + 1}] * {((i * 31 + j * 17 + i * i) % 101) - 50}" for i in range(64)) + ")"
 
 
+def _projected(spark, sf):
+    """Vectors after a linear projection, whose matrix is given (here a fixed formula)."""
+    coef = lambda j: F.array(*[F.lit(((i * 31 + j * 17 + i * i) % 101) - 50).cast("long") for i in range(64)])
+    dot = lambda j: F.aggregate(F.zip_with("desc", coef(j), lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return b.features(spark, sf).select("vec_id", "image_id", F.array(*[dot(j) for j in _DIMS]).alias("v"))
+
+
+@query(f"WITH {b.FEATURES} SELECT vec_id, " + ", ".join(f"({_proj(chr(34) + 'desc' + chr(34), j)})::BIGINT AS p{k}" for k, j in enumerate(_DIMS)) + " FROM feat")
+def fx_pca(spark, sf):
+    return _projected(spark, sf).select("vec_id", *[F.col("v")[k].alias(f"p{k}") for k in range(len(_DIMS))])
+
+
 @query(
     f"WITH {b.FEATURES}, p AS MATERIALIZED (SELECT vec_id, image_id, [" + ", ".join(_proj('"desc"', j) for j in _DIMS) + "] AS v FROM feat) SELECT q.image_id AS q, i.image_id AS i, floor(sqrt(("
     + " + ".join(f"(q.v[{j + 1}] - i.v[{j + 1}]) * (q.v[{j + 1}] - i.v[{j + 1}])" for j in range(len(_DIMS)))
     + ")::BIGINT) / 20000)::BIGINT AS d, count(*)::BIGINT AS n FROM p q, p i WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id GROUP BY ALL"
 )
 def join_theta_pca(spark, sf):
-    """Distances after a linear projection, whose matrix is given (here a fixed formula)."""
-    coef = lambda j: F.array(*[F.lit(((i * 31 + j * 17 + i * i) % 101) - 50).cast("long") for i in range(64)])
-    dot = lambda j: F.aggregate(F.zip_with("desc", coef(j), lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    proj = b.features(spark, sf).select("vec_id", "image_id", F.array(*[dot(j) for j in _DIMS]).alias("v"))
-    pairs = kernels.image_pairs(proj, F.col("image_id") % 25 == 0, F.col("image_id") % 5 == 1)
+    """Distances after the projection."""
+    pairs = kernels.image_pairs(_projected(spark, sf), "image_id % 25 = 0", "image_id % 5 = 1")
     return kernels.histogram(pairs, F.floor(F.sqrt(vectors.l2sqr(F.col("q_v"), F.col("i_v"))) / 20000), 1 << 40)

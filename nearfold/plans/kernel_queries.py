@@ -56,10 +56,16 @@ def flt_crop_box(spark, sf):
 
 
 @query(f"{W} SELECT q.vec_id AS a, i.vec_id AS b, {L2} AS d FROM {PAIRS}")
-def fx_l2(spark, sf):
+def fx_l2sqr(spark, sf):
     return _pairs(spark, sf).select(F.col("q_vec_id").alias("a"), F.col("i_vec_id").alias("b"), vectors.l2sqr(F.col("q_desc"), F.col("i_desc")).alias("d"))
 
 
+@query(f"{W} SELECT q.vec_id AS a, i.vec_id AS b, round(sqrt({L2}), 6) AS d FROM {PAIRS}")
+def fx_l2(spark, sf):
+    d = F.round(F.sqrt(vectors.l2sqr(F.col("q_desc"), F.col("i_desc"))), 6)
+    return _pairs(spark, sf).select(F.col("q_vec_id").alias("a"), F.col("i_vec_id").alias("b"), d.alias("d"))
+
+
 @query("SELECT vec_id, list_sum(list_transform(embedding, lambda e: floor(least(1.0, (ln(greatest(e::DOUBLE, 0.001)) - ln(0.001)) / -ln(0.001)) * 1000 + 0.5)::BIGINT))::BIGINT AS total FROM embeddings")
 def fx_logscale(spark, sf):
     v = F.transform(vectors.logscale(F.col("embedding"), 0.001), lambda x: F.floor(x * 1000 + 0.5))

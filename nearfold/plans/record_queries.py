@@ -190,6 +190,30 @@ def fn_make_id(spark, sf):
     return b.read(spark, sf, "documents").select("doc_id", c.alias("container"), o.alias("off"), bits.make_id(c, o).alias("id"))
 
 
+@query("SELECT doc_id, doc_id >> 8 AS container FROM documents")
+def fn_container(spark, sf):
+    return b.read(spark, sf, "documents").select("doc_id", bits.container(F.col("doc_id")).alias("container"))
+
+
+@query("SELECT doc_id, doc_id & 255 AS off FROM documents")
+def fn_offset(spark, sf):
+    return b.read(spark, sf, "documents").select("doc_id", bits.offset(F.col("doc_id")).alias("off"))
+
+
+@query(f"SELECT doc_id, printf('%08x', doc_id) AS big, {b.hex_sql('doc_id')} AS little FROM documents")
+def fn_encode(spark, sf):
+    """32-bit ids as hex bytes in both orders."""
+    big = F.lpad(F.lower(F.hex("doc_id")), 8, "0")
+    return b.read(spark, sf, "documents").select("doc_id", big.alias("big"), bits.word_hex(F.col("doc_id")).alias("little"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 NOT IN (1, 2)")
+def flt_path(spark, sf):
+    """Files whose name starts with an underscore or a dot are passed over."""
+    name = F.concat(F.element_at(F.array(F.lit("part-"), F.lit("_"), F.lit("."), F.lit("x_"), F.lit("y.")), (F.col("doc_id") % 5 + 1).cast("int")), F.col("doc_id").cast("string"))
+    return b.read(spark, sf, "documents").where(~name.rlike("^[_.]")).select("doc_id")
+
+
 @query(f"{W} SELECT key, CASE WHEN url LIKE '%.jpg' THEN 'image/jpeg' WHEN url LIKE '%.html' THEN 'text/html' ELSE 'test/plain' END AS mime FROM rec")
 def fn_mime(spark, sf):
     return b.records(spark, sf).select("key", text.mime(F.col("url")).alias("mime"))
