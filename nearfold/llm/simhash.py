@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .hamming import cross_links, forest_links
 SEED = 42
 #: Cost of a row dealt to a group against that of a pair compared in memory.
 ROW_COST, PAIR_COST = 200.0, 3.0
+#: Greatest threshold of a part: a part has a mask for every choice of so many of its bits.
+MOST_OUT = 2
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -123,8 +126,8 @@ def collision(joint: np.ndarray, n: int, part: list[int], threshold: int) -> flo
     return float(dist.sum())
 
 
-def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds t_i >= -1 of the given sum with the least summed cost; cost[i][t + 1]."""
+def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]] | None:
+    """Thresholds t_i >= -1 of the given sum with the least summed cost; cost[i][t + 1]. None if there are none."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in cost:
         new: dict[int, tuple[float, list[int]]] = {}
@@ -134,7 +137,7 @@ def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
                 if used + t not in new or cand < new[used + t]:
                     new[used + t] = cand
         best = new
-    return best[total]
+    return best.get(total)
 
 
 def masks_of(part: list[int], threshold: int) -> list[int]:
@@ -147,17 +150,14 @@ def plan_masks(joint: np.ndarray, n: int, radius: int, max_parts: int = 4) -> li
     """The cheapest allocation over all numbers of parts; the thresholds' sum is radius - parts + 1."""
     found = []
     for parts in range(2, max(max_parts, radius + 1) + 1):
-        bits = group_bits(joint, n, parts)
-        cost = []
+        bits, cost = group_bits(joint, n, parts), []
         for part in bits:
-            row = []
-            for t in range(-1, radius + 1):
-                probes = len(masks_of(part, t)) if t <= 2 else 10**9
-                row.append(probes * n * ROW_COST + n * n / 2 * collision(joint, n, part, t) * PAIR_COST)
-            cost.append(row)
-        c, ts = allocate(cost, radius - parts + 1)
-        found.append((c, [m for part, t in zip(bits, ts) for m in masks_of(part, t)]))
-    return min(found)[1]
+            pairs = [n * n / 2 * collision(joint, n, part, t) for t in range(-1, MOST_OUT + 1)]
+            cost.append([comb(len(part), max(t, 0)) * (t >= 0) * n * ROW_COST + p * PAIR_COST for t, p in enumerate(pairs, -1)])
+        if best := allocate(cost, radius - parts + 1):
+            found.append((best[0], parts, best[1], bits))
+    _, _, thresholds, bits = min(found)
+    return [m for part, t in zip(bits, thresholds) for m in masks_of(part, t)]
 
 
 # --- operator ----------------------------------------------------------------
