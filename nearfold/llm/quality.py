@@ -16,6 +16,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -141,10 +142,11 @@ def fit(texts: list[bytes], good: list[int], steps: int = 150, penalty: float =
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list:
     """At most ``rows`` (text, label) pairs, by hash of doc_id; the chosen label
     rows are that bound, so they may be broadcast."""
-    picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    picked = picked.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "y").limit(rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
-    return found.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "y", "text").limit(rows).collect()
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    # A share by hash rather than the least hashes, which every task would send to the driver.
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(max(1, known.count() // rows))) == 0).limit(2 * rows)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id").limit(2 * rows).collect()
+    return sorted(found, key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id, r.y, r.text))[:rows]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
