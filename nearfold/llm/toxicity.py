@@ -150,7 +150,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> Field | None:
     if not len(y) or y.min() == y.max():
         return None
     memo: dict[str, list[int]] = {}
-    words = [t.split() for t in texts]
+    pool: dict[str, str] = {}  # one object for each distinct word keeps the driver small
+    words = [[pool.setdefault(w, w) for w in t.split()] for t in texts]
     feats = [[memo.get(w) or memo.setdefault(w, word_features(w)) for w in ws] for ws in words]
     labels = token_labels(feats, y)
     # Windows: all that hold a toxic word, and one in four of the others.
@@ -205,8 +206,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> Field | None:
         t2 += gt * gt
         trans -= 0.2 * gt / np.sqrt(t2)
     field = Field(w[:-1].astype(np.float32), float(bias), trans, (1.0, 0.0, 1.0, 0.0))
-    sums = [field.marginals(ws) for ws in words]
-    F2 = np.array([summary(m) for m in sums])
+    F2 = np.array([summary(field.marginals(ws)) for ws in words])
     coef = np.zeros(4)
     for _ in range(60):  # Newton steps of the document calibration
         q = 1 / (1 + np.exp(-np.clip(F2 @ coef, -30, 30)))
