@@ -102,7 +102,9 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.weights: dict[tuple[str, str], bool] = {}
+        #: Whether the arc from one piece to another has weight 0, as far as known; and how many are.
+        self.weights: dict[str, dict[str, bool]] = {}
+        self.known = 0
         self.runs: dict[int, list[int]] = {}
         self.memo: dict[str, bytes] = {}
         #: Pieces that merging makes at all; only these have arcs.
@@ -140,30 +142,21 @@ class Transducer:
         step the parts at the boundary must not merge before what was taken
         apart was made.
         """
-        known = self.weights.get((x, y))
-        if known is not None:
-            return known
-        a, b, score, ids = x, y, self.score, self.ids
+        a, b, score, ids, parts = x, y, self.score, self.ids, self.parts
         # Scores of the merges that made the piece a is part of, and b.
         made_a = made_b = float("-inf")
-        ok = True
         while True:
             k = ids.get(a + b)
             # On equal scores the leftmost merge wins: the boundary's comes before one to its right only.
             if k is not None and score[k] > made_a and score[k] >= made_b:
-                ok = False
-                break
-            da, db = (self.split(a) if len(a) > 1 else None), (self.split(b) if len(b) > 1 else None)
+                return False
+            da, db = parts.get(a), parts.get(b)
             if da is None and db is None:
-                break
+                return True
             if db is None or da is not None and score[ids[a]] < score[ids[b]]:
                 made_a, a = score[ids[a]], da[1]
             else:
                 made_b, b = score[ids[b]], db[0]
-        if len(self.weights) > 2 * MEMO:
-            self.weights.clear()
-        self.weights[x, y] = ok
-        return ok
 
     def run(self, n: int) -> list[int]:
         """Pieces of n space marks in a row."""
@@ -176,20 +169,44 @@ class Transducer:
     # --- composition and shortest path ---
 
     def path(self, s: str) -> list[int]:
-        """Ids of a chunk without runs of marks; every character is a piece."""
-        made, longest, finite = self.made, self.longest, self.finite
-        live: list[str] = [""] * (len(s) + 1)  # the piece that the one finite path to each position ends with
-        for j in range(1, len(s) + 1):
-            for i in range(max(0, j - longest), j):
-                piece = s[i:j]
-                if piece in made and (i == 0 or finite(live[i], piece)):
-                    live[j] = piece
-                    break
-        out, j = [], len(s)
-        while j:
-            out.append(made[live[j]])
-            j -= len(live[j])
-        return out[::-1]
+        """Ids of a chunk without runs of marks; every character is a piece.
+
+        All weights are 0 or infinite and one path is finite, so the shortest
+        path is found depth first, longest pieces first; states from which
+        the end can't be reached are left once and for all.
+        """
+        made, weights, n = self.made, self.weights, len(s)
+        out: list[str] = []
+        dead: set[tuple[int, str]] = set()
+        at, size = 0, min(n, self.longest)
+        while at < n:
+            last = out[-1] if out else None
+            arcs = None if last is None else weights.get(last) or weights.setdefault(last, {})
+            while size:
+                piece = s[at : at + size]
+                if piece in made and (not dead or (at, piece) not in dead):
+                    if arcs is None:
+                        break
+                    ok = arcs.get(piece)
+                    if ok is None:
+                        ok = arcs[piece] = self.finite(last, piece)
+                        self.known += 1
+                    if ok:
+                        break
+                size -= 1
+            if size:
+                out.append(piece)
+                at += size
+                size = min(n - at, self.longest)
+            else:
+                back = out.pop()
+                at -= len(back)
+                dead.add((at, back))
+                size = len(back) - 1
+        if self.known > 4 * MEMO:
+            weights.clear()
+            self.known = 0
+        return [made[p] for p in out]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a chunk: spaces, then other characters."""
