@@ -35,6 +35,8 @@ SEED = 42
 ROW_COST, PAIR_COST = 200.0, 3.0
 #: Greatest threshold of a part: a part has a mask for every choice of so many of its bits.
 MOST_OUT = 2
+#: Fingerprints that a plan is made for at least, so that small corpora are searched as large ones are.
+PLAN_FROM = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -148,12 +150,12 @@ def masks_of(part: list[int], threshold: int) -> list[int]:
 
 def plan_masks(joint: np.ndarray, n: int, radius: int, max_parts: int = 4) -> list[int]:
     """The cheapest allocation over all numbers of parts; the thresholds' sum is radius - parts + 1."""
-    found = []
+    found, size = [], max(n, PLAN_FROM)
     for parts in range(2, max(max_parts, radius + 1) + 1):
         bits, cost = group_bits(joint, n, parts), []
         for part in bits:
-            pairs = [n * n / 2 * collision(joint, n, part, t) for t in range(-1, MOST_OUT + 1)]
-            cost.append([comb(len(part), max(t, 0)) * (t >= 0) * n * ROW_COST + p * PAIR_COST for t, p in enumerate(pairs, -1)])
+            pairs = [size * size / 2 * collision(joint, n, part, t) for t in range(-1, MOST_OUT + 1)]
+            cost.append([comb(len(part), max(t, 0)) * (t >= 0) * size * ROW_COST + p * PAIR_COST for t, p in enumerate(pairs, -1)])
         if best := allocate(cost, radius - parts + 1):
             found.append((best[0], parts, best[1], bits))
     _, _, thresholds, bits = min(found)
