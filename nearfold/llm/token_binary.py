@@ -23,25 +23,33 @@ empty table; further columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, arrow_map, strings, table
+from .common import Workspace, arrow_map, table
 
 MAGIC, VERSION, NO_ID = b"NFTB", 1, -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 1000, 16384, 65536
 SEGMENT_BYTES = 1 << 20
 END = 0
-#: Distinct chunks that a worker keeps; beyond it the memory is emptied.
-MEMO = 300_000
+#: Distinct words that a worker keeps; beyond it the memory is emptied. Texts encoded at once.
+MEMO, SLICE = 1_200_000, 3072
+#: ASCII marks that end a word; they are a piece of their own after letters.
+MARKS = string.punctuation
+#: Before the first word of a text.
+START = "\x02"
+#: Texts whose cuts aren't certain: empty, white space next to another or at an end, or any but space and line break; START inside.
+ODD = r"^$|\A[ \n]|[ \n]\z|[ \n]{2}|[\x02\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
 def default_tokenizer() -> str:
@@ -51,11 +59,13 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Exact ids of whole texts, with each distinct chunk encoded by the library once.
+    """Exact ids of whole texts, with each distinct word encoded by the library once.
 
-    A chunk is a line break or a word with the space before it: the
-    tokenizer's pre-tokenisation always cuts there when no white space is
-    next to another.  Other texts go to the library whole.
+    The tokenizer's pre-tokenisation always cuts before the space of a word,
+    at a line break, and between a word's letters and the marks that end it,
+    where no white space is next to another.  Other texts go to the library
+    whole.  Words are told apart by Arrow's dictionary encoding, so Python
+    touches a word once a batch, and ids are put together in numpy.
     """
 
     def __init__(self, path: str):
@@ -64,33 +74,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        #: Bytes that each id stands for: a byte-level piece has a character for each.
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.width[list(vocab.values())] = [len(x) for x in vocab]
+        #: Ids of a word with what is before it: a space (word alone), a line break, or START for nothing.
+        self.memo: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def chunks(text: str) -> list[str] | None:
-        """None where the text's cuts aren't certain."""
-        words = text.split()
-        spaces = text.count(" ") + text.count("\n")
-        if len(words) != spaces + 1 or len("".join(words)) + spaces != len(text) or "\0" in text:
-            return None
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        memo, step = self.memo, 64
-        for i in range(0, len(texts), step):
-            parts = [self.chunks(t) if t else [] for t in texts[i : i + step]]
-            new = list({c for p in parts if p for c in p if c not in memo})
-            for c, ids in zip(new, self._direct(new)) if new else ():
-                memo[c] = ids
-            for j, p in enumerate(parts):
-                out[i + j] = b"".join([memo[c] for c in p]) if p is not None else self._direct([texts[i + j]])[0]
-            if len(memo) > MEMO:
-                memo.clear()
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes words in one text, each with its gap before it, and splits the ids by the bytes they stand for."""
+        new = [w.decode() for w in new]
+        cut = {w: core for w in new if (core := w.rstrip(MARKS)) is not w and core and core[-1].isalpha()}
+        tails = list({w[len(core) :] for w, core in cut.items()} - self.tails.keys())
+        self.tails.update(zip(tails, self._direct(tails) if tails else ()))
+        words = {cut.get(w, w) for w in new}
+        found = {w: ids for w in cut.values() if (ids := self.memo.get(w.encode())) is not None}
+        words = list(words - found.keys())
+        parts = [w if w[0] == "\n" else f"\n{w[1:]}" if w[0] == START else f" {w}" for w in words]
+        sizes = np.cumsum([len(p.encode()) for p in parts])
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids if words else [], dtype="<u4")
+        stops = (4 * (np.searchsorted(np.cumsum(self.width[ids]), sizes, side="left") + 1)).tolist()
+        raw, at = ids.tobytes(), 0
+        for w, stop in zip(words, stops):
+            found[w] = raw[at + 4 * (w[0] == START) : stop]
+            at = stop
+        for w, core in cut.items():
+            found[w] = found[core] + self.tails[w[len(core) :]]
+        self.memo.update((w.encode(), ids) for w, ids in found.items())
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of texts whose cuts are certain."""
+        words = pc.split_pattern(pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        _, cuts, data = coded.dictionary.buffers()
+        cuts, data = np.frombuffer(cuts, np.int32, len(coded.dictionary) + 1, 4 * coded.dictionary.offset).tolist(), data.to_pybytes()
+        keys, memo = [data[x:y] for x, y in zip(cuts, cuts[1:])], self.memo
+        found = list(map(memo.get, keys))
+        if None in found:
+            self._learn([k for k, ids in zip(keys, found) if ids is None])
+            found = [memo[k] for k in keys]
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        start, n = (np.cumsum(size, dtype=np.int32) - size)[at], size[at]
+        stop = np.cumsum(n, dtype=np.int64)
+        ids = flat[np.repeat(start - (stop - n).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)]
+        off = words.offsets.to_numpy() - words.offsets[0].as_py()
+        counts = np.diff(np.concatenate([[0], stop])[off])
+        if len(memo) > MEMO:
+            memo.clear()
+        return ids, counts
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is as empty."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        out: list[bytes] = []
+        for i in range(0, len(texts), SLICE):
+            part = texts.slice(i, SLICE)
+            odd = pc.match_substring_regex(part, ODD)
+            ids, counts = self._plain(part.filter(pc.invert(odd)))
+            raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            plain = iter(raw[a:b] for a, b in zip([0, *ends], ends))
+            direct = iter(self._direct(part.filter(odd).to_pylist()))
+            out += [next(direct) if o else next(plain) for o in odd.to_pylist()]
         return out
 
 
@@ -110,9 +161,10 @@ def with_end(ids: bytes) -> bytes:
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """At most DICT_BYTES; empty where the sample is too small to train on."""
-    short = docs.where((F.length("text") <= DICT_CHARS) & (F.length("text") > 0))
-    rows = short.select("text", F.xxhash64("doc_id", F.lit("dict")).alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).orderBy("h", "c").limit(DICT_DOCS).collect()
-    samples = [with_end(x) for x in encoder(tokenizer).encode([r.text for r in rows])]
+    one_in = max(1, docs.count() // DICT_DOCS)
+    short = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("dict")), F.lit(one_in)) == 0).where((F.length("text") <= DICT_CHARS) & (F.length("text") > 0))
+    rows = short.select("text").limit(2 * DICT_DOCS).collect()
+    samples = [with_end(x) for x in encoder(tokenizer).encode(sorted(r.text for r in rows)[:: max(1, len(rows) // DICT_DOCS)])]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
@@ -166,9 +218,9 @@ def _write(batches, tokenizer: str, dictionary: bytes):
         return pa.RecordBatch.from_pylist([out], schema=pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("body", pa.binary())]))
 
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), strings(b.column(1))
-        for i in range(0, len(ids), 64):
-            for d, raw in zip(ids[i : i + 64], enc.encode(texts[i : i + 64])):
+        ids, texts = b.column(0).to_pylist(), b.column(1)
+        for i in range(0, len(ids), SLICE):
+            for d, raw in zip(ids[i : i + SLICE], enc.encode(texts.slice(i, SLICE))):
                 raw = with_end(raw)
                 frame = codec.compress(raw)
                 held.append((NO_ID if d is None else d, frame, len(raw) // 4))
