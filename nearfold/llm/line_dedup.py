@@ -1,7 +1,7 @@
 """Fuzzy line dedup over the corpus.
 
 Lines are normalised (ASCII lower case, words alone) and exact repeats fall
-together first.  Distinct lines get a 64-bit SimHash of their words and are
+together first.  Distinct lines get a 64-bit SimHash of their distinct words and are
 joined on pigeonhole blocks: any two within BLOCK_RADIUS bits share a block,
 and so do most that are somewhat further.  Lines that share a block, differ in
 at most RADIUS bits and are of like length are verified by edit similarity of
@@ -23,19 +23,19 @@ ordered; an empty table gives an empty table; other columns are carried.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, table, utf8
+from .common import SPACES, Workspace, arrow_map, table, utf8
 from .components import components
 from .hamming import block_masks, cross_links, forest_links
 
 BLOCK_RADIUS, RADIUS = 2, 8
+WHITE = SPACES.decode()
 SIMILARITY = 0.8
 
 
@@ -50,18 +50,37 @@ _FOLD = bytes(32 if b < 128 and b != 10 and not chr(b).isalnum() else b for b in
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of the words of each line (none empty), as signed 64-bit integers."""
-    out, step = [np.zeros(0, np.int64)], 512
+    """64-bit SimHash of the distinct words of each line (none empty), as signed 64-bit integers.
+
+    Frequent words count once a line; by number of occurrences they would make unlike lines near.
+    """
+    out, step = [np.zeros(0, np.int64)], 8192
     for i in range(0, len(lines), step):
-        words = [x.split(b" ") for x in lines[i : i + step]]
-        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum()))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        words = pc.split_pattern(pa.array(lines[i : i + step], pa.binary()), b" ")
+        coded = words.flatten().dictionary_encode()
+        _, cuts, data = coded.dictionary.buffers()
+        cuts, data = np.frombuffer(cuts, np.int32, len(coded.dictionary) + 1, 4 * coded.dictionary.offset).tolist(), data.to_pybytes()
+        known = [data[x:y] for x, y in zip(cuts, cuts[1:])]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
+        line = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+        own = np.sort(line * len(known) + coded.indices.to_numpy(zero_copy_only=False))
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        line = own // len(known)
+        h = hashes[own - line * len(known)]
+        n = np.bincount(line, minlength=len(words))
+        if n.max() < 256:  # eight bits' counts fit the bytes of one number
+            ones = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], np.cumsum(n) - n, axis=0).view(np.uint8).astype(np.int32)
+        else:
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
         out.append(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel())
     return np.concatenate(out)
 
 
+#: Each byte's bits spread to the eight bytes of a number.
+_LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], dtype="<u8")
+
+
 def _lines(batches):
     """doc_id, row, text -> doc_id, row, line number, hash, SimHash and length of each line with a word."""
     digest = xxhash.xxh64_intdigest
@@ -130,8 +149,16 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Whether the edit distance is at most (1 - similarity) of the longer line."""
-    return edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+    """Whether the edit distance is at most (1 - similarity) of the longer line.
+
+    Replacing the words that differ one for one bounds the distance; where
+    that is near enough, the distance itself isn't needed.
+    """
+    room = (1 - similarity) * max(len(a), len(b)) + 1e-9
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum([max(len(v), len(w)) for v, w in zip(x, y) if v != w]) <= room:
+        return True
+    return edit_distance(a, b) <= room
 
 
 def _verify(batches):
@@ -167,7 +194,8 @@ def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         extra = ws.write(verify(more, _texts(ws, keyed, lines, ids)).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():
-            roots = ws.write(components(ws, good.unionByName(extra)), "roots")
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = ws.write(components(ws, known.unionByName(extra)), "roots")
     grouped = lines.join(roots, lines.id == roots.node, "left").select("best", "id", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
@@ -183,7 +211,7 @@ def _rebuild(batches):
         for text, keep in zip(b.column(names.index("text")).to_pylist(), b.column(names.index("__keep")).to_pylist()):
             lines = text.split("\n") if text else []
             keep = set(keep or ())
-            real = [bool(x) for x in normal_lines(text.encode())] if text else []
+            real = [bool(x.strip(WHITE)) for x in lines]  # just those that normal_lines leaves words
             dropped = sum(r and i not in keep for i, r in enumerate(real))
             if dropped:
                 text = "\n".join(x for i, x in enumerate(lines) if i in keep or not real[i]) if keep else ""

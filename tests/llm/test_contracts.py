@@ -291,6 +291,8 @@ def test_edit_distance():
     for _ in range(3000):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in range(2))
         assert line_dedup.edit_distance(a, b) == _lev(a, b)
+        a, b = (" ".join(rng.choice(["ab", "abc", "x", "yz"]) for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        assert line_dedup.similar(a, b, 0.7) == (_lev(a, b) <= 0.3 * max(len(a), len(b)) + 1e-9)
 
 
 def test_line_dedup_equals_all_pairs(spark):
