@@ -37,20 +37,30 @@ def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("*", F.explode(each).alias("g"))
 
 
-def dealt(ws: Workspace, fps: DataFrame, masks: list[int]) -> DataFrame:
+def by_keys(fps: DataFrame) -> DataFrame:
+    """One row for each fingerprint and member of its array ``keys``: the other columns and g, the group's key."""
+    return fps.select(*[c for c in fps.columns if c != "keys"], F.explode("keys").alias("g"))
+
+
+def grouped(fps: DataFrame, masks: list[int] | None) -> DataFrame:
+    """Rows of ``fps`` by the groups of the masks or, where there are none, of their own keys."""
+    return by_keys(fps) if masks is None else masked(fps, masks)
+
+
+def dealt(ws: Workspace, fps: DataFrame, masks: list[int] | None) -> DataFrame:
     """``fps`` and key: rows of a group meet under a key, large groups under one for each pair of chunks.
 
     Which groups count as large is told from a hash sample; that decides only
     how a group is dealt out, never which pairs meet.
     """
-    sample = masked(fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLE)) == 0), masks)
+    sample = grouped(fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLE)) == 0), masks)
     hot = sample.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > CHUNK)
     hot = ws.write(hot.select("g", F.ceil(F.col("n") * SAMPLE / CHUNK).cast("int").alias("chunks")), "hot")
-    rows = masked(fps, masks).join(hot, "g", "left")
+    rows = grouped(fps, masks).join(hot, "g", "left")
     c = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("g", F.least(c, j), F.greatest(c, j)))
     keys = F.when(F.isnull("chunks"), F.array("g")).otherwise(pairs)
-    return rows.select(*fps.columns, F.explode(keys).alias("key"))
+    return rows.select(*[c for c in fps.columns if c != "keys"], F.explode(keys).alias("key"))
 
 
 def in_runs(rows: DataFrame) -> DataFrame:
@@ -100,18 +110,25 @@ def _pairs(a, b):
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _short(off):
+    """(x, y): all pairs of positions in runs of at most SHORT rows, by distance in the run."""
+    n = np.diff(off)
+    left = np.repeat(off[1:], n) - np.arange(off[-1])
+    left[np.repeat(n > SHORT, n)] = 0
+    for lag in range(1, int(left.max(initial=1))):
+        x = np.flatnonzero(left > lag)
+        yield x, x + lag
+
+
 def _forest(batches, k: int, ratio: float):
     for cols, off in runs(batches):
         ids, fps, sizes, n = cols["id"], cols["fp"], cols["size"], np.diff(off)
         a, b = [], []
-        # Short runs: every pair at once, by distance in the run. Long runs: a spanning forest each.
-        left = np.repeat(off[1:], n) - np.arange(off[-1])
-        left[np.repeat(n > SHORT, n)] = 0
-        for lag in range(1, int(left.max(initial=1))):
-            x = np.flatnonzero(left > lag)
-            x = x[_near(fps, sizes, x, x + lag, k, ratio)]
-            a.append(ids[x])
-            b.append(ids[x + lag])
+        # Short runs: every pair at once. Long runs: a spanning forest each.
+        for x, y in _short(off):
+            ok = _near(fps, sizes, x, y, k, ratio)
+            a.append(ids[x[ok]])
+            b.append(ids[y[ok]])
         for i in np.flatnonzero(n > SHORT):
             s = slice(off[i], off[i + 1])
             if edges := spanning(fps[s], sizes[s], k, ratio):
@@ -121,10 +138,11 @@ def _forest(batches, k: int, ratio: float):
         yield _pairs(a, b)
 
 
-def forest_links(ws: Workspace, fps: DataFrame, masks: list[int], k: int, ratio: float = 0.0) -> DataFrame:
+def forest_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
     """Links (a < b, ids) whose connected components are those of all linked pairs.
 
-    ``fps``: id long (unique), fp long, size long.
+    ``fps``: id long (unique), fp long, size long; without masks also keys, an
+    array of integers: rows that share one of them form a group.
     """
     return arrow_map(in_runs(dealt(ws, fps, masks)), partial(_forest, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
@@ -132,7 +150,13 @@ def forest_links(ws: Workspace, fps: DataFrame, masks: list[int], k: int, ratio:
 def _cross(batches, k: int, ratio: float):
     for cols, off in runs(batches):
         ids, fps, sizes, label = (cols[n] for n in ("id", "fp", "size", "label"))
-        for i in np.flatnonzero(np.diff(off) > 1):
+        a, b = [], []
+        for x, y in _short(off):
+            ok = (label[y] != label[x]) & _near(fps, sizes, x, y, k, ratio)
+            a.append(ids[x[ok]])
+            b.append(ids[y[ok]])
+        yield _pairs(a, b)
+        for i in np.flatnonzero(np.diff(off) > SHORT):
             a, b = [], []
             for x in range(off[i], off[i + 1] - 1):
                 y = np.arange(x + 1, off[i + 1])
@@ -142,16 +166,21 @@ def _cross(batches, k: int, ratio: float):
             yield _pairs(a, b)
 
 
-def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, touched: DataFrame, masks: list[int], k: int, ratio: float = 0.0) -> DataFrame:
+def labelled_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
+    """All linked pairs of different labels; ``fps`` with a column label."""
+    return arrow_map(in_runs(dealt(ws, fps, masks)), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
+
+
+def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, touched: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
     """All linked pairs of different labels from the groups that hold a touched id.
 
     labels: node, root; touched: id.
     """
-    keys = ws.write(masked(fps.join(touched, "id", "left_semi"), masks).select("g").distinct(), "touched")
-    near = ws.write(masked(fps, masks).join(keys, "g", "left_semi").select("id").distinct(), "near")
+    keys = ws.write(grouped(fps.join(touched, "id", "left_semi"), masks).select("g").distinct(), "touched")
+    near = ws.write(grouped(fps, masks).join(keys, "g", "left_semi").select("id").distinct(), "near")
     some = fps.join(near, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left")
-    some = ws.write(some.select("id", "fp", "size", F.coalesce("root", "id").alias("label")), "labelled")
-    return arrow_map(in_runs(dealt(ws, some, masks)), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
+    some = ws.write(some.select(*fps.columns, F.coalesce("root", "id").alias("label")), "labelled")
+    return labelled_links(ws, some, masks, k, ratio)
 
 
 def block_masks(k: int, bits: int = 64) -> list[int]:

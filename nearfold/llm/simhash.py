@@ -7,6 +7,12 @@ parts get unequal thresholds by dynamic programming over estimated candidate
 counts, and every fingerprint is probed under the masks that the thresholds
 give.  Links are verified on the whole fingerprints.
 
+Where ``exact`` is asked for with a similarity, a second candidate path finds
+the pairs that the radius misses: texts of Jaccard similarity s share one of
+the n - ceil(s n) + 1 least shingle hashes of each (prefix filter), so all
+pairs of distinct shingle sets that share one, are of like size and aren't
+connected yet are verified on the whole sets.
+
 Defined results: null text is as empty text; texts without words have
 fingerprint zero and are linked like any other; equal fingerprints are one
 class; repeated rows stay, in one class; an empty table gives an empty table;
@@ -18,7 +24,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map, signed, utf8
 from .components import components
-from .hamming import cross_links, forest_links
+from .hamming import cross_links, forest_links, labelled_links
 
 SEED = 42
 #: Cost of a row dealt to a group against that of a pair compared in memory.
@@ -218,7 +224,36 @@ def _verified(ws: Workspace, docs: DataFrame, classes: DataFrame, nodes: DataFra
     return good.unionByName(_checked(ws, docs, classes, more, words, similarity).where("ok").select("a", "b"))
 
 
-def _classify(docs: DataFrame, words: int, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _prefixes(batches, words: int, similarity: float):
+    """row, text -> row, id (hash of the whole shingle set), size and keys, the set's least hashes."""
+    for b in batches:
+        ids, sizes, keys = [], [], []
+        for t in utf8(b.column(1)):
+            s = shingles(t, words)
+            ids.append(signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)))
+            sizes.append(len(s))
+            keys.append(s[: len(s) - ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "size", "keys"])
+
+
+def _missed(ws: Workspace, docs: DataFrame, fps: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links between fingerprints of all texts of the similarity that ``links`` leaves unconnected."""
+    labels = ws.write(components(ws, links), "near")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    found = ws.write(arrow_map(rows, partial(_prefixes, words=words, similarity=similarity), "row long, id long, size long, keys array<long>"), "prefixes")
+    owners = ws.write(found.select("row", "id").join(fps.select("row", "fp").distinct(), "row").groupBy("id", "fp").agg(F.min("row").alias("row")), "owners")
+    first = ws.write(owners.groupBy("id").agg(F.min(F.struct("fp", "row")).alias("own")).select("id", "own.*"), "sets")
+    labelled = first.join(labels, F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("label"))
+    nodes = found.dropDuplicates(["row"]).join(labelled, "row").select("id", F.col("id").alias("fp"), "size", "label", "keys")
+    pairs = ws.write(labelled_links(ws, ws.write(nodes, "keyed"), None, 64, similarity), "shared")
+    ends = first.select(F.col("id").alias("fp"), F.struct("row").alias("best"))
+    alike = _checked(ws, docs, ends, pairs, words, similarity).where("ok")
+    end = lambda name, to: first.select(F.col("id").alias(name), F.col("fp").alias(to))
+    same = owners.join(end("id", "a"), "id").where("a <> fp").select("a", F.col("fp").alias("b"))
+    return alike.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
+
+
+def _classify(docs: DataFrame, words: int, radius: int, similarity: float | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of doc_id, row (a key of the whole row), fp; and fp, best: the first row of its component."""
     ws = Workspace(docs.sparkSession, "simhash")
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -231,6 +266,8 @@ def _classify(docs: DataFrame, words: int, radius: int, similarity: float | None
         links = forest_links(ws, nodes, masks, radius)
     else:
         links = _verified(ws, docs, classes, nodes, masks, radius, words, similarity)
+        if exact:
+            links = links.unionByName(_missed(ws, docs, fps, links, words, similarity))
     roots = ws.write(components(ws, links), "roots")
     linked = ws.write(classes.join(roots, classes.fp == roots.node).select("fp", "best", "root"), "linked")
     tops = ws.write(linked.groupBy("root").agg(F.min("best").alias("top")), "tops")
@@ -240,20 +277,21 @@ def _classify(docs: DataFrame, words: int, radius: int, similarity: float | None
     return fps, final
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """doc_id, fp long, component_id (the least doc_id reachable) for every row of ``docs``.
 
     Links are pairs of fingerprints within the radius and, where a similarity
-    is given, of that Jaccard similarity of shingle sets.
+    is given, of that Jaccard similarity of shingle sets; with ``exact`` all
+    pairs of that similarity, whatever their fingerprints.
     """
-    fps, final = _classify(docs, words, radius, similarity)
+    fps, final = _classify(docs, words, radius, similarity, exact)
     return fps.join(final, "fp").select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float | None = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float | None = 0.8, exact: bool = False) -> DataFrame:
     """One document of each component with all its columns: that of the least
     doc_id (null last). Of fully repeated rows one stays."""
-    _, final = _classify(docs, words, radius, similarity)
+    _, final = _classify(docs, words, radius, similarity, exact)
     keep = final.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__row"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     same = (keyed["__key"] == keep["__row"]) & keyed["doc_id"].cast("long").eqNullSafe(keep["__doc"])

@@ -246,6 +246,29 @@ def test_near_copies_by_similarity(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(got.values())
 
 
+def test_near_copies_beyond_the_radius(spark):
+    """All pairs of Jaccard similarity 0.8, by comparing all; many differ in more than 8 bits."""
+    rng = random.Random(12)
+    vocab = ["w%03d" % i for i in range(500)]
+    made = [(500, None), (501, ""), (502, "one two"), (503, "One  two")]
+    for i in range(160):
+        ws = made[-1][1].split() if i % 2 else [rng.choice(vocab) for _ in range(rng.randrange(60, 200))]
+        for _ in range(len(ws) // 70 + 1 if i % 2 else 0):
+            ws[rng.randrange(len(ws))] = rng.choice(vocab)
+        made.append((i, " ".join(ws)))
+    sets = {i: set(simhash.shingles((t or "").encode(), 5).tolist()) for i, t in made}
+    fps = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in made}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (fps[a] == fps[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 8 for a, b in pairs) > 5
+    root = {i: i for i in sets}
+    for _ in range(len(root)):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 8, 0.8, exact=True).collect()} == root
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df, exact=True).collect()} == set(root.values())
+
+
 @pytest.mark.parametrize("seed,radius", [(0, 2), (1, 2), (2, 3)])
 def test_generalised_pigeonhole_misses_nothing(spark, seed, radius, monkeypatch):
     """Near copies by the hundred, so that groups are dealt over chunks too."""
