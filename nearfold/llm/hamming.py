@@ -39,7 +39,7 @@ def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 def by_keys(fps: DataFrame) -> DataFrame:
     """One row for each fingerprint and member of its array ``keys``: the other columns and g, the group's key."""
-    return fps.select(*[c for c in fps.columns if c != "keys"], F.explode("keys").alias("g"))
+    return fps.select(*[c for c in fps.columns if c != "keys"], F.explode("keys").alias("g")).withColumn("g", F.col("g").cast("long"))
 
 
 def grouped(fps: DataFrame, masks: list[int] | None) -> DataFrame:

@@ -1,12 +1,15 @@
 """Fuzzy line dedup over the corpus.
 
 Lines are normalised (ASCII lower case, words alone) and exact repeats fall
-together first.  Distinct lines get a 64-bit SimHash of their distinct words and are
-joined on pigeonhole blocks: any two within BLOCK_RADIUS bits share a block,
-and so do most that are somewhat further.  Lines that share a block, differ in
-at most RADIUS bits and are of like length are verified by edit similarity of
-the normalised lines, and one occurrence stays of each connected group: the
-first by (doc_id, line).
+together first.  Distinct lines get a 64-bit SimHash of their distinct words and
+meet where they share a SimHash block (always within SURE bits) or a block of
+three words (fewer in short lines), cut from the start and from the end of the
+line.  So lines of n words of which fewer than n // 3 are changed one for one
+always meet, and so do lines with a word put in or left out.  Lines that meet,
+differ in at most RADIUS bits and are of like length are verified by edit
+similarity of the normalised lines, and one occurrence stays of each connected
+group: the first by (doc_id, line).  Lines with small changes in nearly every
+word share no block and can be missed.
 
 Inside a block group only a spanning forest of the near pairs is verified at
 first, as connectivity is all that counts.  Where a forest link fails the
@@ -34,7 +37,10 @@ from .common import SPACES, Workspace, arrow_map, table, utf8
 from .components import components
 from .hamming import block_masks, cross_links, forest_links
 
-BLOCK_RADIUS, RADIUS = 2, 8
+#: Most bits that lines of a link differ in, and bits to which the groups of lines are to reach.
+RADIUS = BLOCK_RADIUS = 24
+#: Bits within which lines share a SimHash block, whatever their words.
+SURE = 2
 WHITE = SPACES.decode()
 SIMILARITY = 0.8
 
@@ -81,8 +87,36 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], dtype="<u8")
 
 
+def word_blocks(norm: bytes) -> set[int]:
+    """32-bit hashes of the line's blocks of words, from its start and from its end; short lines have shorter blocks too."""
+    words, digest = norm.split(b" "), xxhash.xxh32_intdigest
+    n = len(words)
+    out = set()
+    for size in (1, 2) if n < 5 else (2,) if n < 9 else (2, 3) if n < 12 else (3,):
+        for at in {0, n % size}:
+            out.update([digest(b" ".join(words[i : i + size]), size) for i in range(at, n - size + 1, size)])
+    return out
+
+
+def group_keys(norms: list[bytes], fps: np.ndarray) -> pa.Array:
+    """Keys of the groups that each line is in: those of its SimHash blocks and of its blocks of words.
+
+    Should two groups share a key, their pairs are verified like any others.
+    """
+    own, keys = [], []
+    for i, mask in enumerate(block_masks(SURE)):
+        part = np.frombuffer((fps.view(np.uint64) & np.uint64(mask)).tobytes(), np.uint64)
+        own.append(((part ^ part >> np.uint64(32) ^ np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32))
+    own = np.stack(own, axis=1)
+    for norm, blocks in zip(norms, own):
+        keys.append(np.concatenate([blocks, np.fromiter(word_blocks(norm), np.uint32)]))
+    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint32), *keys]).view(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def _lines(batches):
-    """doc_id, row, text -> doc_id, row, line number, hash, SimHash and length of each line with a word."""
+    """doc_id, row, text -> doc_id, row, line number, hash, SimHash, length and group keys of each line with a word."""
     digest = xxhash.xxh64_intdigest
     for b in batches:
         at, no, norms = [], [], []
@@ -94,7 +128,8 @@ def _lines(batches):
                     norms.append(norm)
         at = pa.array(at, pa.int64())
         hs = np.fromiter((digest(x, 7) for x in norms), dtype=np.uint64, count=len(norms)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs), pa.array(simhashes(norms)), pa.array(map(len, norms), pa.int32())], ["doc_id", "row", "line", "id", "fp", "size"])
+        fps = simhashes(norms)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs), pa.array(fps), pa.array(map(len, norms), pa.int32()), group_keys(norms, fps)], ["doc_id", "row", "line", "id", "fp", "size", "keys"])
 
 
 def _pick(batches):
@@ -178,11 +213,11 @@ def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` with its row key, and (row, keep): the numbers of the lines to keep, for rows that keep any."""
     ws = Workspace(docs.sparkSession, "lines")
     keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = ws.write(arrow_map(keyed.select(F.col("doc_id").cast("long"), "row", "text"), _lines, "doc_id long, row long, line int, id long, fp long, size int"), "lines")
+    found = ws.write(arrow_map(keyed.select(F.col("doc_id").cast("long"), "row", "text"), _lines, "doc_id long, row long, line int, id long, fp long, size int, keys array<int>"), "lines")
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row", "line")
-    lines = ws.write(found.groupBy("id").agg(F.min(first).alias("best"), F.min("fp").alias("fp"), F.min("size").cast("long").alias("size")), "distinct")
-    nodes, masks = lines.select("id", "fp", "size"), block_masks(BLOCK_RADIUS)
-    links = ws.write(forest_links(ws, nodes, masks, RADIUS, SIMILARITY), "links")
+    lines = ws.write(found.groupBy("id").agg(F.min(first).alias("best"), F.min("fp").alias("fp"), F.min("size").cast("long").alias("size"), F.min("keys").alias("keys")), "distinct")
+    nodes = lines.select("id", "fp", "size", "keys")
+    links = ws.write(forest_links(ws, nodes, None, RADIUS, SIMILARITY), "links")
     ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     checked = ws.write(verify(links, _texts(ws, keyed, lines, ids)), "checked")
     good = checked.where("ok").select("a", "b")
@@ -190,7 +225,7 @@ def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = checked.where("not ok")
     if failed.limit(1).count():
         touched = ws.write(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "touched")
-        more = ws.write(cross_links(ws, nodes, roots, touched, masks, RADIUS, SIMILARITY).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = ws.write(cross_links(ws, nodes, roots, touched, None, RADIUS, SIMILARITY).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
         ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         extra = ws.write(verify(more, _texts(ws, keyed, lines, ids)).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():

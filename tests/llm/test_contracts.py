@@ -367,6 +367,27 @@ def test_line_dedup_equals_all_pairs(spark):
         assert got[i].text == ("\n".join(kept) if any((i, j) in keep for j, _ in real) else "")
 
 
+def test_line_groups_reach_edit_similarity():
+    """Of lines with words changed, left out or put in that stay similar, nearly all meet and are near enough to be compared."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    made = []
+    while len(made) < 2000:
+        a = [rng.choice(vocab) for _ in range(rng.randrange(5, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 2 + len(a) // 6)):
+            i, kind = rng.randrange(len(b)), rng.random()
+            b[i : i + 1] = [rng.choice(vocab)] if kind < 0.8 else [] if kind < 0.9 else [b[i], rng.choice(vocab)]
+        if len(b) > 2 and line_dedup.similar(" ".join(a), " ".join(b)):
+            made += [" ".join(a).encode(), " ".join(b).encode()]
+    fps = line_dedup.simhashes(made)
+    keys = [set(k) for k in line_dedup.group_keys(made, fps).to_pylist()]
+    met = [bool(keys[i] & keys[i + 1]) for i in range(0, len(made), 2)]
+    near = [int(fps[i] ^ fps[i + 1]) & (1 << 64) - 1 for i in range(0, len(made), 2)]
+    found = [m and x.bit_count() <= line_dedup.RADIUS for m, x in zip(met, near)]
+    assert sum(found) >= 0.99 * len(found), (sum(met), sum(found), len(found))
+
+
 def test_line_dedup_edges(spark, docs, rows, empty):
     got = line_dedup.dedup_lines(docs.drop("row"))
     assert got.count() == len(rows)
