@@ -2,8 +2,9 @@
 
 A block is a paragraph of lines around a line with a licence word.  Each block
 is compressed alone and with every template as zstandard raw dictionary; the
-template that saves the greatest share of the block's size ranks first.  The
-best few are confirmed by their exact wording differences: the words of the
+template that saves the greatest share of the block's size ranks first.  All
+are confirmed, but for those too many of whose words the block lacks at any
+place, by their exact wording differences: the words of the
 template that the block lacks and the words it puts in between, on the best
 alignment.  A template is found where at most DIFFERENT of its words differ.
 
@@ -17,6 +18,7 @@ empty table; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -53,8 +55,8 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 CUE = re.compile(r"licen[sc]|permission|redistribut|public domain|rights reserved|free software|\bcc0?[ -]?(?:by|1\.0)", re.I)
-#: Share of a template's words that may differ, and templates confirmed for each block.
-DIFFERENT, CONFIRMED = 0.15, 6
+#: Share of a template's words that may differ.
+DIFFERENT = 0.15
 
 
 def candidate_blocks(text: str) -> list[tuple[int, str]]:
@@ -81,6 +83,7 @@ class Scanner:
     def __init__(self):
         self.plain = zstandard.ZstdCompressor(level=6)
         self.words = [_fold(t) for _, t in TEMPLATES]
+        self.counts = [Counter(w) for w in self.words]
         self.known = [zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(b" ".join(w), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
 
     def rank(self, block: list[bytes]) -> list[tuple[float, int]]:
@@ -112,6 +115,11 @@ class Scanner:
             k = end + 1
         return best
 
+    def possible(self, block: list[bytes]) -> set[int]:
+        """Templates of whose words the block holds enough, wherever they stand."""
+        held = Counter(block)
+        return {i for i, c in enumerate(self.counts) if sum(max(n - held[w], 0) for w, n in c.items()) <= DIFFERENT * len(self.words[i])}
+
     def scan(self, text: str) -> list[dict]:
         out = []
         for at, block in candidate_blocks(text):
@@ -120,8 +128,12 @@ class Scanner:
                 rest = [w for j, w in enumerate(words) if not any(a <= j < b for a, b in taken)] if taken else words
                 if not rest:
                     break
-                found = []
-                for place, (saved, i) in enumerate(self.rank(rest)[:CONFIRMED]):
+                found, possible = [], self.possible(rest)
+                if not possible:
+                    break
+                for place, (saved, i) in enumerate(self.rank(rest)):
+                    if i not in possible:
+                        continue
                     n, a, b, tags = self.difference(i, rest)
                     if n <= DIFFERENT * len(self.words[i]):
                         found.append((n / len(self.words[i]), -len(self.words[i]), place, i, saved, a, b, n, tags))

@@ -582,6 +582,17 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(docs).count() == 0
 
 
+def test_notices_of_any_rank():
+    """Exact notices that other templates outrank in compression."""
+    scanner = license_scan.Scanner()
+    gpl = "This work is available under the GNU Free Documentation License, version 1.3. All rights reserved."
+    assert {r["license"] for r in scanner.scan(gpl)} == {"Proprietary"}
+    noise = " ".join("w%d" % (i * i % 7919) for i in range(5000))
+    for i, (name, t) in enumerate(license_scan.TEMPLATES):
+        got = scanner.scan(f"{noise} {t} {noise}")
+        assert any(r["license"] == name and r["n_different"] == 0 for r in got), (i, got)
+
+
 def test_licenses_of_table(spark, data):
     got = Counter((r.doc_id, r.license) for r in license_scan.op1_license_scan(spark, data).where("n_different = 0").collect())
     folded = {i: [b" ".join(common.fold_words(t.lower().encode()))] for i, (_, t) in enumerate(license_scan.TEMPLATES)}
