@@ -1,6 +1,8 @@
 """License scans by conditional compression.
 
-A block is a paragraph of lines around a line with a licence word.  Each block
+A block is the paragraph around a line with a licence word: the lines next to
+it, up to a line without words or until as many words as a notice can have
+lie on that side.  Each block
 is compressed alone and with every template as zstandard raw dictionary; the
 template that saves the greatest share of the block's size ranks first.  All
 are confirmed, but for those too many of whose words the block lacks at any
@@ -18,8 +20,11 @@ empty table; further columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import accumulate
+from math import ceil
 
 import pyarrow as pa
 import zstandard
@@ -54,31 +59,55 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
-CUE = re.compile(r"licen[sc]|permission|redistribut|public domain|rights reserved|free software|\bcc0?[ -]?(?:by|1\.0)", re.I)
+#: Words of a cue may stand on different lines.
+CUE = re.compile(r"licen[sc]|permission|redistribut|public[\W_]+domain|rights[\W_]+reserved|free[\W_]+software|\bcc0?[\W_]*(?:by|1\.0)", re.I)
 #: Share of a template's words that may differ.
 DIFFERENT = 0.15
 
 
 def candidate_blocks(text: str) -> list[tuple[int, str]]:
-    """(code point offset, block): lines with a cue, next to each other."""
-    if not CUE.search(text):
+    """(code point offset, block): the paragraphs around lines with a cue; those that touch are one."""
+    cues = list(CUE.finditer(text))
+    if not cues:
         return []
-    out, at, last = [], 0, -2
-    for i, line in enumerate(text.split("\n")):
-        if CUE.search(line):
-            if last == i - 1 and out:
-                out[-1] = (out[-1][0], f"{out[-1][1]}\n{line}")
-            else:
-                out.append((at, line))
-            last = i
-        at += len(line) + 1
-    return out
+    lines = text.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
+    words: dict[int, int] = {}
+
+    def reach(i: int, step: int) -> int:
+        """The last line of the block on this side of line i."""
+        held = 0
+        while held < LONGEST and 0 <= i + step < len(lines):
+            if i + step not in words:
+                words[i + step] = len(_fold(lines[i + step]))
+            if not words[i + step]:
+                break
+            i += step
+            held += words[i]
+        return i
+
+    spans: list[list[int]] = []
+    seen = -1
+    for cue in cues:
+        first, last = (bisect_right(starts, at) - 1 for at in (cue.start(), cue.end() - 1))
+        if last == seen:
+            continue
+        seen, first, last = last, reach(first, -1), reach(last, 1)
+        if spans and first <= spans[-1][1] + 1 and (first <= spans[-1][1] or words.get(first, 1)):
+            spans[-1] = [min(first, spans[-1][0]), max(last, spans[-1][1])]
+        else:
+            spans.append([first, last])
+    return [(starts[i], "\n".join(lines[i : j + 1])) for i, j in spans]
 
 
 def _fold(text: str) -> list[bytes]:
     return fold_words(text.lower().encode("utf-8", "replace"))
 
 
+#: Words of the longest notice that can be found: at most a DIFFERENT share is put in.
+LONGEST = max(ceil((1 + DIFFERENT) * len(_fold(t))) for _, t in TEMPLATES)
+
+
 class Scanner:
     def __init__(self):
         self.plain = zstandard.ZstdCompressor(level=6)

@@ -1,6 +1,7 @@
 """Contract queries against brute force, on the small tables and on hand-made rows."""
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -593,6 +594,17 @@ def test_notices_of_any_rank():
         assert any(r["license"] == name and r["n_different"] == 0 for r in got), (i, got)
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_wrapped_notices(prefix):
+    scanner = license_scan.Scanner()
+    for width in range(60, 81, 4):
+        for i, (name, t) in enumerate(license_scan.TEMPLATES):
+            lines = textwrap.wrap(f"Copyright 2020 A. U. Thor and others. {t} And so on for the rest of it.", width)
+            text = "\n".join(["import os", "", *(prefix + x for x in lines), "", "def f(): pass"])
+            found = scanner.scan(text)
+            assert any(r["license"] == name and r["n_different"] == 0 for r in found), (width, i, found)
+
+
 def test_licenses_of_table(spark, data):
     got = Counter((r.doc_id, r.license) for r in license_scan.op1_license_scan(spark, data).where("n_different = 0").collect())
     folded = {i: [b" ".join(common.fold_words(t.lower().encode()))] for i, (_, t) in enumerate(license_scan.TEMPLATES)}
