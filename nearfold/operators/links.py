@@ -30,9 +30,24 @@ def cap_buckets(rows: DataFrame, cap: int | None = MAX_HASH) -> DataFrame:
     return rows.join(large, "k", "left_anti")
 
 
-def block_pairs(sk: DataFrame, distance: int = GRAPH_DISTANCE, cap: int | None = MAX_HASH) -> DataFrame:
-    """(src, dst) with src < dst and fewer than ``distance`` differing bits; exact for distances up to 3."""
-    rows = cap_buckets(block_rows(sk), cap)
+def block_pairs(sk: DataFrame, distance: int = GRAPH_DISTANCE, cap: int | None = None) -> DataFrame:
+    """(src, dst) with src < dst and fewer than ``distance`` differing bits; exact for distances up to 3.
+
+    Equal sketches are one class: classes are joined by blocks, then their
+    members paired.  A ``cap`` leaves out larger blocks, as the reference does.
+    """
+    if cap is None:
+        classes = sk.groupBy(*WORDS).agg(F.min("id").alias("class"))
+        members = sk.join(classes, [*WORDS]).select("class", "id")
+        near = _near_rows(block_rows(classes.withColumnRenamed("class", "id")), distance)
+        a, b = members.toDF("src", "a"), members.toDF("dst", "b")
+        apart = near.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        same = members.toDF("class", "src").join(members.toDF("class", "dst"), "class").where((F.col("src") < F.col("dst")) & F.lit(distance > 0))
+        return apart.unionByName(same.select("src", "dst"))
+    return _near_rows(cap_buckets(block_rows(sk), cap), distance)
+
+
+def _near_rows(rows: DataFrame, distance: int) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).where(hamming() < distance)
     return near.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
@@ -42,7 +57,7 @@ def symmetrize(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def edges(sk: DataFrame, distance: int = GRAPH_DISTANCE, cap: int | None = MAX_HASH) -> DataFrame:
+def edges(sk: DataFrame, distance: int = GRAPH_DISTANCE, cap: int | None = None) -> DataFrame:
     return symmetrize(block_pairs(sk, distance, cap))
 
 

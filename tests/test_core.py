@@ -40,6 +40,16 @@ def test_block_pairs_equal_brute_force(spark):
     assert got == {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if _distance(a, b) < 3}
 
 
+def test_large_blocks_give_pairs(spark):
+    """Over 20,000 rows in a block, with copies and a pair that only this block joins."""
+    rng = random.Random(3)
+    rows = [(i, 5, rng.getrandbits(32), rng.getrandbits(32), rng.getrandbits(21) << 11) for i in range(20010)]
+    _, w0, w1, w2, w3 = rows[7]
+    rows += [(30000, w0, w1 ^ 1, w2 ^ 1, w3), (30001, w0, w1 ^ 1, w2 ^ 1, w3)]
+    got = {tuple(r) for r in links.block_pairs(spark.createDataFrame(rows, SK)).collect()}
+    assert got == {(7, 30000), (7, 30001), (30000, 30001)}
+
+
 def test_plans_lie_between_radii(spark):
     rows = _sketches()
     sk = spark.createDataFrame(rows, SK)
