@@ -117,9 +117,14 @@ def fold_words(text: bytes) -> list[bytes]:
 _FOLD = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
-def with_row_key(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """Adds a key that tells rows apart even where doc_id is null or repeated.
+def row_key(*columns: str):
+    """A column of 128 bits that tells rows apart even where doc_id is null or repeated.
 
-    Fully equal (doc_id, text) rows share a key and get equal treatment.
+    Rows equal in the named columns share a key and get equal treatment.
     """
-    return docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ..., so that no name of its own can clash with a helper column's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

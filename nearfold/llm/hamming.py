@@ -8,7 +8,7 @@ asked for.  Groups of many members are dealt over pairs of bounded chunks, so
 that no task holds an unbounded group and no link is lost.
 
 Two rows are linked when they share a group, differ in at most k bits and,
-where a size is given, the lesser size is at least ``ratio`` of the greater.
+where a ratio is given, the lesser size is at least that of the greater.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, arrow_map, signed
 
 #: Members of a chunk of a large group, and the share of fingerprints (one in so many, by hash) from which large groups are told.
-CHUNK, SAMPLE = 256, 16
+CHUNK, SAMPLE = 512, 16
 #: Rows of a run up to which all its pairs are compared at once.
 SHORT = 12
 
@@ -89,7 +89,7 @@ def _near(fps, sizes, x, y, k, ratio):
     return ok & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y])) if ratio else ok
 
 
-def spanning(fps: np.ndarray, sizes: np.ndarray, k: int, ratio: float = 0.0) -> list[tuple[int, int]]:
+def spanning(fps: np.ndarray, sizes: np.ndarray | None, k: int, ratio: float = 0.0) -> list[tuple[int, int]]:
     """Edges (positions) of a spanning forest of the linked pairs."""
     left, edges = np.arange(len(fps)), []
     while len(left):
@@ -122,7 +122,7 @@ def _short(off):
 
 def _forest(batches, k: int, ratio: float):
     for cols, off in runs(batches):
-        ids, fps, sizes, n = cols["id"], cols["fp"], cols["size"], np.diff(off)
+        ids, fps, sizes, n = cols["id"], cols["fp"], cols.get("size"), np.diff(off)
         a, b = [], []
         # Short runs: every pair at once. Long runs: a spanning forest each.
         for x, y in _short(off):
@@ -131,7 +131,7 @@ def _forest(batches, k: int, ratio: float):
             b.append(ids[y[ok]])
         for i in np.flatnonzero(n > SHORT):
             s = slice(off[i], off[i + 1])
-            if edges := spanning(fps[s], sizes[s], k, ratio):
+            if edges := spanning(fps[s], sizes[s] if ratio else None, k, ratio):
                 e = np.array(edges) + off[i]
                 a.append(ids[e[:, 0]])
                 b.append(ids[e[:, 1]])
@@ -141,15 +141,15 @@ def _forest(batches, k: int, ratio: float):
 def forest_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
     """Links (a < b, ids) whose connected components are those of all linked pairs.
 
-    ``fps``: id long (unique), fp long, size long; without masks also keys, an
-    array of integers: rows that share one of them form a group.
+    ``fps``: id long (unique), fp long and, with a ratio, size long; without
+    masks also keys, an array of integers: rows that share one form a group.
     """
     return arrow_map(in_runs(dealt(ws, fps, masks)), partial(_forest, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 
 def _cross(batches, k: int, ratio: float):
     for cols, off in runs(batches):
-        ids, fps, sizes, label = (cols[n] for n in ("id", "fp", "size", "label"))
+        ids, fps, sizes, label = (cols.get(n) for n in ("id", "fp", "size", "label"))
         a, b = [], []
         for x, y in _short(off):
             ok = (label[y] != label[x]) & _near(fps, sizes, x, y, k, ratio)

@@ -2,14 +2,17 @@
 
 Lines are normalised (ASCII lower case, words alone) and exact repeats fall
 together first.  Distinct lines get a 64-bit SimHash of their distinct words and
-meet where they share a SimHash block (always within SURE bits) or a block of
-three words (fewer in short lines), cut from the start and from the end of the
-line.  So lines of n words of which fewer than n // 3 are changed one for one
-always meet, and so do lines with a word put in or left out.  Lines that meet,
-differ in at most RADIUS bits and are of like length are verified by edit
+meet where they share a pigeonhole block: one of the SimHash's (always within
+SURE bits) or one of the line's own, a run of two words (one in the shortest
+lines) at the same place, counted from the start in the first half and from the
+end in the second, so that a word put in or left out shifts nothing beyond it.
+A line takes part with its BLOCKS blocks of most bytes, which are the rarest.
+Lines of n <= 2 * BLOCKS + 1 words with fewer than n // 2 of them changed one
+for one always meet; the tests and the README give the recall beyond that.
+Lines that meet and differ in at most RADIUS bits are verified by edit
 similarity of the normalised lines, and one occurrence stays of each connected
 group: the first by (doc_id, line).  Lines with small changes in nearly every
-word share no block and can be missed.
+word share no block and can be missed, as can lines written without spaces.
 
 Inside a block group only a spanning forest of the near pairs is verified at
 first, as connectivity is all that counts.  Where a forest link fails the
@@ -21,11 +24,15 @@ count as repeats and stay while the document keeps any other line; a document
 that loses every line with a word is left with empty text; documents that had
 none keep their text; rows that repeat (doc_id, text) fully are treated as one
 row and get the same result; null doc_ids come last when occurrences are
-ordered; an empty table gives an empty table; other columns are carried.
+ordered; an empty table gives an empty table; other columns are carried,
+whatever their names, but those named as the two counts, which the counts
+replace.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,14 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, arrow_map, table, utf8
+from .common import SPACES, Workspace, arrow_map, positional, row_key, signed, table, utf8
 from .components import components
 from .hamming import block_masks, cross_links, forest_links
 
-#: Most bits that lines of a link differ in, and bits to which the groups of lines are to reach.
-RADIUS = BLOCK_RADIUS = 24
+#: Most bits that lines of a link differ in: 998 of 1000 pairs of edit similarity 0.8 or more do.
+RADIUS = 20
 #: Bits within which lines share a SimHash block, whatever their words.
 SURE = 2
+#: Blocks of words that a line is found by.
+BLOCKS = 8
 WHITE = SPACES.decode()
 SIMILARITY = 0.8
 
@@ -87,49 +96,46 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], dtype="<u8")
 
 
-def word_blocks(norm: bytes) -> set[int]:
-    """32-bit hashes of the line's blocks of words, from its start and from its end; short lines have shorter blocks too."""
-    words, digest = norm.split(b" "), xxhash.xxh32_intdigest
-    n = len(words)
-    out = set()
-    for size in (1, 2) if n < 5 else (2,) if n < 9 else (2, 3) if n < 12 else (3,):
-        for at in {0, n % size}:
-            out.update([digest(b" ".join(words[i : i + size]), size) for i in range(at, n - size + 1, size)])
-    return out
-
+def word_blocks(norm: bytes) -> list[int]:
+    """64-bit hashes (signed) of the line's blocks of words with their places."""
+    words = norm.split(b" ")
+    n, blocks = len(words), []
+    for size in (1,) if n < 4 else (1, 2) if n == 4 else (2,):
+        heads = [b" ".join(words[i : i + size]) for i in range(0, n - size + 1, size)]
+        tails = heads[::-1] if n % size == 0 else [b" ".join(words[i - size : i]) for i in range(n, size - 1, -size)]
+        half = (len(heads) + 1) // 2
+        blocks += [(len(x), x, i) for i, x in enumerate(heads[:half])]
+        blocks += [(len(x), x, ~i) for i, x in enumerate(tails[: len(heads) - half])]
+    if len(blocks) > BLOCKS:
+        blocks.sort(reverse=True)
+    digest = xxhash.xxh64_intdigest
+    return [signed(digest(x, i & 0xFFFFFFFF)) for _, x, i in blocks[:BLOCKS]]
 
-def group_keys(norms: list[bytes], fps: np.ndarray) -> pa.Array:
-    """Keys of the groups that each line is in: those of its SimHash blocks and of its blocks of words.
 
-    Should two groups share a key, their pairs are verified like any others.
-    """
-    own, keys = [], []
-    for i, mask in enumerate(block_masks(SURE)):
-        part = np.frombuffer((fps.view(np.uint64) & np.uint64(mask)).tobytes(), np.uint64)
-        own.append(((part ^ part >> np.uint64(32) ^ np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32))
-    own = np.stack(own, axis=1)
-    for norm, blocks in zip(norms, own):
-        keys.append(np.concatenate([blocks, np.fromiter(word_blocks(norm), np.uint32)]))
-    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.uint32), *keys]).view(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def simhash_blocks():
+    """The fingerprint's block hashes, as a column."""
+    return F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(x)))) for i, x in enumerate(block_masks(SURE))])
 
 
 def _lines(batches):
-    """doc_id, row, text -> doc_id, row, line number, hash, SimHash, length and group keys of each line with a word."""
+    """doc_id, row, text -> doc_id, row, line number, hash, SimHash and block keys of each line with a word."""
     digest = xxhash.xxh64_intdigest
     for b in batches:
-        at, no, norms = [], [], []
+        at, no, norms, known = [], [], [], {}
         for i, text in enumerate(utf8(b.column(2))):
             for j, norm in enumerate(normal_lines(text)):
                 if norm:
                     at.append(i)
                     no.append(j)
-                    norms.append(norm)
-        at = pa.array(at, pa.int64())
-        hs = np.fromiter((digest(x, 7) for x in norms), dtype=np.uint64, count=len(norms)).view(np.int64)
-        fps = simhashes(norms)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs), pa.array(fps), pa.array(map(len, norms), pa.int32()), group_keys(norms, fps)], ["doc_id", "row", "line", "id", "fp", "size", "keys"])
+                    norms.append(known.setdefault(norm, len(known)))
+        own = list(known)
+        at, which = pa.array(at, pa.int64()), pa.array(norms, pa.int32())
+        hs = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
+        keys = [word_blocks(x) for x in own]
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array([k for x in keys for k in x], pa.int64()))
+        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs).take(which), pa.array(simhashes(own)).take(which), keys.take(which)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "id", "fp", "keys"])
 
 
 def _pick(batches):
@@ -209,15 +215,15 @@ def verify(links: DataFrame, norms: DataFrame) -> DataFrame:
     return arrow_map(pairs, _verify, "a long, b long, ok boolean")
 
 
-def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with its row key, and (row, keep): the numbers of the lines to keep, for rows that keep any."""
-    ws = Workspace(docs.sparkSession, "lines")
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = ws.write(arrow_map(keyed.select(F.col("doc_id").cast("long"), "row", "text"), _lines, "doc_id long, row long, line int, id long, fp long, size int, keys array<int>"), "lines")
+def keepers(keyed: DataFrame) -> DataFrame:
+    """(row, keep): the numbers of the lines to keep, for rows that keep any. ``keyed``: doc_id, row, text."""
+    ws = Workspace(keyed.sparkSession, "lines")
+    found = arrow_map(keyed, _lines, f"doc_id long, row {keyed.schema['row'].dataType.simpleString()}, line int, id long, fp long, keys array<long>")
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row", "line")
-    lines = ws.write(found.groupBy("id").agg(F.min(first).alias("best"), F.min("fp").alias("fp"), F.min("size").cast("long").alias("size"), F.min("keys").alias("keys")), "distinct")
-    nodes = lines.select("id", "fp", "size", "keys")
-    links = ws.write(forest_links(ws, nodes, None, RADIUS, SIMILARITY), "links")
+    # Lines of one hash but different fingerprints are different lines.
+    lines = ws.write(found.groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("keys").alias("keys")), "distinct")
+    nodes = lines.select("id", "fp", F.concat("keys", simhash_blocks()).alias("keys"))
+    links = ws.write(forest_links(ws, nodes, None, RADIUS), "links")
     ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     checked = ws.write(verify(links, _texts(ws, keyed, lines, ids)), "checked")
     good = checked.where("ok").select("a", "b")
@@ -225,25 +231,23 @@ def keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = checked.where("not ok")
     if failed.limit(1).count():
         touched = ws.write(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "touched")
-        more = ws.write(cross_links(ws, nodes, roots, touched, None, RADIUS, SIMILARITY).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = ws.write(cross_links(ws, nodes, roots, touched, None, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
         ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         extra = ws.write(verify(more, _texts(ws, keyed, lines, ids)).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = ws.write(components(ws, known.unionByName(extra)), "roots")
-    grouped = lines.join(roots, lines.id == roots.node, "left").select("best", "id", "root")
+    grouped = lines.select("id", "best").join(roots, lines.id == roots.node, "left").select("best", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
-    kept = alone.unionByName(tops).groupBy("best.row").agg(F.collect_list("best.line").alias("keep"))
-    return keyed, kept
+    return alone.unionByName(tops).groupBy("best.row").agg(F.collect_list("best.line").alias("keep"))
 
 
-def _rebuild(batches):
-    """..., text, keep -> ..., text, n_lines, n_dropped."""
+def _rebuild(batches, at: int):
+    """..., keep -> ... with the text (column ``at``) rebuilt, n_lines, n_dropped."""
     for b in batches:
-        names = b.schema.names
         out, total, gone = [], [], []
-        for text, keep in zip(b.column(names.index("text")).to_pylist(), b.column(names.index("__keep")).to_pylist()):
+        for text, keep in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
             lines = text.split("\n") if text else []
             keep = set(keep or ())
             real = [bool(x.strip(WHITE)) for x in lines]  # just those that normal_lines leaves words
@@ -253,21 +257,24 @@ def _rebuild(batches):
             out.append(text)
             total.append(len(lines))
             gone.append(dropped)
-        cols = [pa.array(out, pa.string()) if n == "text" else c for n, c in zip(names, b.columns) if n != "__keep"]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*(n for n in names if n != "__keep"), "__lines", "__dropped"])
+        cols = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines gone from text, and columns __lines and __dropped (counts)."""
+def dedup_lines(docs: DataFrame, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` with repeated lines gone from text, and two columns of counts: its lines and those dropped."""
     from pyspark.sql.types import LongType, StructType
 
-    keyed, kept = keepers(docs.drop("row") if "row" in docs.columns else docs)
-    kept = kept.select(F.col("row").alias("__row"), F.col("keep").alias("__keep")).hint("shuffle_hash")
-    joined = keyed.join(kept, keyed["row"] == F.col("__row"), "left")
-    fields = StructType([f for f in keyed.schema.fields if f.name != "row"]).add("__lines", LongType()).add("__dropped", LongType())
-    return arrow_map(joined.drop("row", "__row"), _rebuild, fields)
+    docs = docs.drop(lines, dropped)
+    doc_id, at = docs.columns.index("doc_id"), docs.columns.index("text")
+    base = positional(docs)
+    key = row_key(f"c{doc_id}", f"c{at}")
+    kept = keepers(base.select(F.col(f"c{doc_id}").cast("long").alias("doc_id"), key.alias("row"), F.col(f"c{at}").alias("text")))
+    joined = base.withColumn("row", key).join(kept.hint("shuffle_hash"), "row", "left").select(*base.columns, "keep")
+    fields = StructType(base.schema.fields).add("n_lines", LongType()).add("n_dropped", LongType())
+    return arrow_map(joined, partial(_rebuild, at=at), fields).toDF(*docs.columns, lines, dropped)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
