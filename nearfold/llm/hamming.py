@@ -47,15 +47,19 @@ def grouped(fps: DataFrame, masks: list[int] | None) -> DataFrame:
     return by_keys(fps) if masks is None else masked(fps, masks)
 
 
-def dealt(ws: Workspace, fps: DataFrame, masks: list[int] | None) -> DataFrame:
-    """``fps`` and key: rows of a group meet under a key, large groups under one for each pair of chunks.
+def hot_groups(ws: Workspace, fps: DataFrame, masks: list[int] | None) -> DataFrame:
+    """g, chunks: the groups of many members and the chunks that each is dealt out in.
 
     Which groups count as large is told from a hash sample; that decides only
     how a group is dealt out, never which pairs meet.
     """
     sample = grouped(fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLE)) == 0), masks)
     hot = sample.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > CHUNK)
-    hot = ws.write(hot.select("g", F.ceil(F.col("n") * SAMPLE / CHUNK).cast("int").alias("chunks")), "hot")
+    return ws.write(hot.select("g", F.ceil(F.col("n") * SAMPLE / CHUNK).cast("int").alias("chunks")), "hot")
+
+
+def dealt(fps: DataFrame, masks: list[int] | None, hot: DataFrame) -> DataFrame:
+    """``fps`` and key: rows of a group meet under a key, large groups under one for each pair of chunks."""
     rows = grouped(fps, masks).join(hot, "g", "left")
     c = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("g", F.least(c, j), F.greatest(c, j)))
@@ -123,28 +127,38 @@ def _short(off):
 def _forest(batches, k: int, ratio: float):
     for cols, off in runs(batches):
         ids, fps, sizes, n = cols["id"], cols["fp"], cols.get("size"), np.diff(off)
-        a, b = [], []
+        a, b, keys = [], [], [np.zeros(0, np.int64)]
         # Short runs: every pair at once. Long runs: a spanning forest each.
         for x, y in _short(off):
             ok = _near(fps, sizes, x, y, k, ratio)
             a.append(ids[x[ok]])
             b.append(ids[y[ok]])
+        short = sum(map(len, a))
         for i in np.flatnonzero(n > SHORT):
             s = slice(off[i], off[i + 1])
             if edges := spanning(fps[s], sizes[s] if ratio else None, k, ratio):
                 e = np.array(edges) + off[i]
                 a.append(ids[e[:, 0]])
                 b.append(ids[e[:, 1]])
-        yield _pairs(a, b)
+                keys.append(np.full(len(e), cols["key"][off[i]]))
+        pairs, keys = _pairs(a, b), np.concatenate([np.zeros(short, np.int64), *keys])
+        yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(keys, mask=np.arange(len(keys)) < short)], ["a", "b", "key"])
 
 
 def forest_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
-    """Links (a < b, ids) whose connected components are those of all linked pairs.
+    """Links (a < b, ids) whose connected components are those of all linked pairs; key: the
+    group that a link stands for others in, null where all linked pairs of the group are given.
 
     ``fps``: id long (unique), fp long and, with a ratio, size long; without
     masks also keys, an array of integers: rows that share one form a group.
     """
-    return arrow_map(in_runs(dealt(ws, fps, masks)), partial(_forest, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
+    rows = dealt(fps, masks, hot_groups(ws, fps, masks))
+    return arrow_map(in_runs(rows), partial(_forest, k=k, ratio=ratio), "a long, b long, key long").where("a <> b").distinct()
+
+
+def failed_groups(links: DataFrame, checked: DataFrame) -> DataFrame:
+    """key: the groups of ``links`` for which a link that stands for others failed its check (a, b, ok)."""
+    return links.where("key is not null").join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
 
 
 def _cross(batches, k: int, ratio: float):
@@ -168,19 +182,18 @@ def _cross(batches, k: int, ratio: float):
 
 def labelled_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
     """All linked pairs of different labels; ``fps`` with a column label."""
-    return arrow_map(in_runs(dealt(ws, fps, masks)), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
+    rows = dealt(fps, masks, hot_groups(ws, fps, masks))
+    return arrow_map(in_runs(rows), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 
-def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, touched: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
-    """All linked pairs of different labels from the groups that hold a touched id.
+def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, failed: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
+    """All linked pairs of different labels from the failed groups.
 
-    labels: node, root; touched: id.
+    labels: node, root; failed: key, of the groups that ``forest_links`` gave for the same rows.
     """
-    keys = ws.write(grouped(fps.join(touched, "id", "left_semi"), masks).select("g").distinct(), "touched")
-    near = ws.write(grouped(fps, masks).join(keys, "g", "left_semi").select("id").distinct(), "near")
-    some = fps.join(near, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left")
-    some = ws.write(some.select(*fps.columns, F.coalesce("root", "id").alias("label")), "labelled")
-    return labelled_links(ws, some, masks, k, ratio)
+    some = ws.write(dealt(fps, masks, hot_groups(ws, fps, masks)).join(failed, "key", "left_semi"), "touched")
+    some = some.join(labels, F.col("id") == F.col("node"), "left").select(*some.columns, F.coalesce("root", "id").alias("label"))
+    return arrow_map(in_runs(some), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 
 def block_masks(k: int, bits: int = 64) -> list[int]:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Workspace, arrow_map, positional, row_key, signed, table, utf8
 from .components import components
-from .hamming import block_masks, cross_links, forest_links
+from .hamming import block_masks, cross_links, failed_groups, forest_links
 
 #: Most bits that lines of a link differ in: 998 of 1000 pairs of edit similarity 0.8 or more do.
 RADIUS = 20
@@ -64,21 +64,24 @@ def normal_lines(text: bytes) -> list[bytes]:
 _FOLD = bytes(32 if b < 128 and b != 10 and not chr(b).isalnum() else b for b in range(256))
 
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of the distinct words of each line (none empty), as signed 64-bit integers.
+def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """64-bit SimHash of the distinct words of each line (none empty) and the line's block keys, as signed 64-bit integers.
 
     Frequent words count once a line; by number of occurrences they would make unlike lines near.
     """
-    out, step = [np.zeros(0, np.int64)], 8192
+    out, keys, step = [np.zeros(0, np.int64)], [], 8192
     for i in range(0, len(lines), step):
         words = pc.split_pattern(pa.array(lines[i : i + step], pa.binary()), b" ")
         coded = words.flatten().dictionary_encode()
         _, cuts, data = coded.dictionary.buffers()
-        cuts, data = np.frombuffer(cuts, np.int32, len(coded.dictionary) + 1, 4 * coded.dictionary.offset).tolist(), data.to_pybytes()
-        known = [data[x:y] for x, y in zip(cuts, cuts[1:])]
+        cuts, data = np.frombuffer(cuts, np.int32, len(coded.dictionary) + 1, 4 * coded.dictionary.offset), data.to_pybytes()
+        known = [data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
-        line = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-        own = np.sort(line * len(known) + coded.indices.to_numpy(zero_copy_only=False))
+        n = np.diff(words.offsets.to_numpy())
+        line = np.repeat(np.arange(len(words)), n)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        keys.append(word_blocks(hashes[codes], np.diff(cuts)[codes], n))
+        own = np.sort(line * len(known) + codes)
         own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         line = own // len(known)
         h = hashes[own - line * len(known)]
@@ -89,27 +92,48 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
         out.append(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel())
-    return np.concatenate(out)
+    return np.concatenate(out), pa.chunked_array(keys, pa.list_(pa.int64())).combine_chunks()
+
+
+def simhashes(lines: list[bytes]) -> np.ndarray:
+    return fingerprints(lines)[0]
 
 
 #: Each byte's bits spread to the eight bytes of a number.
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], dtype="<u8")
 
 
-def word_blocks(norm: bytes) -> list[int]:
-    """64-bit hashes (signed) of the line's blocks of words with their places."""
-    words = norm.split(b" ")
-    n, blocks = len(words), []
-    for size in (1,) if n < 4 else (1, 2) if n == 4 else (2,):
-        heads = [b" ".join(words[i : i + size]) for i in range(0, n - size + 1, size)]
-        tails = heads[::-1] if n % size == 0 else [b" ".join(words[i - size : i]) for i in range(n, size - 1, -size)]
-        half = (len(heads) + 1) // 2
-        blocks += [(len(x), x, i) for i, x in enumerate(heads[:half])]
-        blocks += [(len(x), x, ~i) for i, x in enumerate(tails[: len(heads) - half])]
-    if len(blocks) > BLOCKS:
-        blocks.sort(reverse=True)
-    digest = xxhash.xxh64_intdigest
-    return [signed(digest(x, i & 0xFFFFFFFF)) for _, x, i in blocks[:BLOCKS]]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def word_blocks(hashes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Each line's keys: hashes of its blocks of words with their places.
+
+    Word hashes and sizes of all lines in a row, and the number of words of each line.
+    """
+    first, found = np.cumsum(n) - n, []
+    for size, lines in ((1, np.flatnonzero(n <= 4)), (2, np.flatnonzero(n >= 4))):
+        blocks = n[lines] // size
+        line = np.repeat(lines, blocks)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        half = (n[line] // size + 1) // 2
+        place = np.where(at < half, at, half - 1 - at)  # from the end: -1, -2, ...
+        start = first[line] + np.where(place >= 0, size * place, n[line] + size * place)
+        block, length = np.zeros(len(line), np.uint64), np.zeros(len(line), np.int64)
+        for j in range(size):
+            block = _mix(block + hashes[start + j])
+            length += sizes[start + j]
+        found.append((line, length, block, place))
+    line, length, block, place = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((place, block, -length, line))
+    line, block, place = line[order], block[order], place[order]
+    all_ = np.bincount(line, minlength=len(n))
+    best = np.arange(len(line)) - np.repeat(np.cumsum(all_) - all_, all_) < BLOCKS
+    keys = _mix(block[best] + place[best].astype(np.uint64)).view(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.minimum(all_, BLOCKS))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
 
 
 def simhash_blocks():
@@ -131,10 +155,8 @@ def _lines(batches):
         own = list(known)
         at, which = pa.array(at, pa.int64()), pa.array(norms, pa.int32())
         hs = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
-        keys = [word_blocks(x) for x in own]
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array([k for x in keys for k in x], pa.int64()))
-        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs).take(which), pa.array(simhashes(own)).take(which), keys.take(which)]
+        fps, keys = fingerprints(own)
+        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs).take(which), pa.array(fps).take(which), keys.take(which)]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "id", "fp", "keys"])
 
 
@@ -189,17 +211,46 @@ def edit_distance(a: str, b: str) -> int:
     return dist
 
 
+def edits_by_word(x: list[str], y: list[str], room: float) -> float:
+    """Characters that one alignment of the words changes: a bound of the edit distance from above.
+
+    Where words differ, the nearest place within REACH words at which two equal
+    words follow is taken for the next match.
+    """
+    cost = i = j = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _STEPS:
+            u, v = i + p, j + q
+            if u < n and v < m and x[u] == y[v] and (u + 1 == n or v + 1 == m or x[u + 1] == y[v + 1]):
+                break
+        else:
+            p = q = 1
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q) - (p > 0 and q > 0)
+        if cost > room:
+            return cost
+        i, j = i + p, j + q
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
+
+
+REACH = 4
+#: Words of either line to skip, the fewest first.
+_STEPS = sorted(((p, q) for p in range(REACH + 1) for q in range(REACH + 1) if p + q), key=lambda s: (max(s), abs(s[0] - s[1])))
+
+
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether the edit distance is at most (1 - similarity) of the longer line.
 
-    Replacing the words that differ one for one bounds the distance; where
-    that is near enough, the distance itself isn't needed.
+    The difference of lengths bounds the distance from below, an alignment of
+    the words from above; where either decides, the distance isn't needed.
     """
     room = (1 - similarity) * max(len(a), len(b)) + 1e-9
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum([max(len(v), len(w)) for v, w in zip(x, y) if v != w]) <= room:
-        return True
-    return edit_distance(a, b) <= room
+    if abs(len(a) - len(b)) > room:
+        return False
+    return edits_by_word(a.split(" "), b.split(" "), room) <= room or edit_distance(a, b) <= room
 
 
 def _verify(batches):
@@ -224,14 +275,13 @@ def keepers(keyed: DataFrame) -> DataFrame:
     lines = ws.write(found.groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("keys").alias("keys")), "distinct")
     nodes = lines.select("id", "fp", F.concat("keys", simhash_blocks()).alias("keys"))
     links = ws.write(forest_links(ws, nodes, None, RADIUS), "links")
-    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    checked = ws.write(verify(links, _texts(ws, keyed, lines, ids)), "checked")
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    checked = ws.write(verify(links.select("a", "b").distinct(), _texts(ws, keyed, lines, ids)), "checked")
     good = checked.where("ok").select("a", "b")
     roots = ws.write(components(ws, good), "roots")
-    failed = checked.where("not ok")
+    failed = ws.write(failed_groups(links, checked), "failed")
     if failed.limit(1).count():
-        touched = ws.write(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "touched")
-        more = ws.write(cross_links(ws, nodes, roots, touched, None, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = ws.write(cross_links(ws, nodes, roots, failed, None, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
         ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         extra = ws.write(verify(more, _texts(ws, keyed, lines, ids)).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map, signed, utf8
 from .components import components
-from .hamming import cross_links, forest_links, labelled_links
+from .hamming import cross_links, failed_groups, forest_links, labelled_links
 
 SEED = 42
 #: Cost of a row dealt to a group against that of a pair compared in memory.
@@ -214,13 +214,13 @@ def _verified(ws: Workspace, docs: DataFrame, classes: DataFrame, nodes: DataFra
     all pairs of its groups that are not connected yet.
     """
     links = ws.write(forest_links(ws, nodes, masks, radius), "links")
-    checked = _checked(ws, docs, classes, links, words, similarity)
+    checked = _checked(ws, docs, classes, links.select("a", "b").distinct(), words, similarity)
     good = checked.where("ok").select("a", "b")
-    touched = ws.write(checked.where("not ok").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
-    if not touched.limit(1).count():
+    failed = ws.write(failed_groups(links, checked), "failed")
+    if not failed.limit(1).count():
         return good
     labels = ws.write(components(ws, good), "labels")
-    more = ws.write(cross_links(ws, nodes, labels, touched, masks, radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    more = ws.write(cross_links(ws, nodes, labels, failed, masks, radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
     return good.unionByName(_checked(ws, docs, classes, more, words, similarity).where("ok").select("a", "b"))
 
 
@@ -261,9 +261,9 @@ def _classify(docs: DataFrame, words: int, radius: int, similarity: float | None
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")
     classes = ws.write(fps.groupBy("fp").agg(F.min(first).alias("best")), "classes")
     joint, n = bit_statistics(classes)
-    nodes, masks = classes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("size")), plan_masks(joint, n, radius)
+    nodes, masks = classes.select(F.col("fp").alias("id"), "fp"), plan_masks(joint, n, radius)
     if similarity is None:
-        links = forest_links(ws, nodes, masks, radius)
+        links = forest_links(ws, nodes, masks, radius).select("a", "b")
     else:
         links = _verified(ws, docs, classes, nodes, masks, radius, words, similarity)
         if exact:

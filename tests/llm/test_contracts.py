@@ -411,9 +411,10 @@ def test_line_blocks_reach_edit_similarity():
             b[i : i + 1] = [rng.choice(vocab)] if kind < 0.8 else [] if kind < 0.9 else [b[i], rng.choice(vocab)]
         if len(b) > 2 and line_dedup.similar(" ".join(a), " ".join(b)):
             made += [" ".join(a).encode(), " ".join(b).encode()]
-    fps = line_dedup.simhashes(made).view(np.uint64)
+    fps, blocks = line_dedup.fingerprints(made)
+    fps, blocks = fps.view(np.uint64), blocks.to_pylist()
     masks = [np.uint64(m) for m in hamming.block_masks(line_dedup.SURE)]
-    keys = [{*line_dedup.word_blocks(x), *((i, f & m) for i, m in enumerate(masks))} for x, f in zip(made, fps)]
+    keys = [{*own, *((i, f & m) for i, m in enumerate(masks))} for own, f in zip(blocks, fps)]
     met = [bool(keys[i] & keys[i + 1]) for i in range(0, len(made), 2)]
     near = [int(fps[i] ^ fps[i + 1]) for i in range(0, len(made), 2)]
     found = [m and x.bit_count() <= line_dedup.RADIUS for m, x in zip(met, near)]
