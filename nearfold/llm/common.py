@@ -54,6 +54,8 @@ class Workspace:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        # Without a collection the driver knows of no shuffle files that can go, and they fill the executors' disks.
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._nearfold_path = path
         return out

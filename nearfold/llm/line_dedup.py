@@ -86,12 +86,14 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
         line = own // len(known)
         h = hashes[own - line * len(known)]
         n = np.bincount(line, minlength=len(words))
-        if n.max() < 256:  # eight bits' counts fit the bytes of one number
-            ones = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], np.cumsum(n) - n, axis=0).view(np.uint8).astype(np.int32)
-        else:
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel())
+        first, bits = np.cumsum(n) - n, np.zeros((len(n), 64), bool)
+        # Eight bits' counts fit the bytes of one number, in lines of fewer than 256 words.
+        ones = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], first, axis=0).view(np.uint8)
+        bits[:] = ones > (n >> 1)[:, None]
+        for j in np.flatnonzero(n > 255):
+            one = np.unpackbits(h[first[j] : first[j] + n[j]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits[j] = 2 * one.sum(axis=0, dtype=np.int64) > n[j]
+        out.append(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel())
     return np.concatenate(out), pa.chunked_array(keys, pa.list_(pa.int64())).combine_chunks()
 
 
@@ -127,7 +129,9 @@ def word_blocks(hashes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.Arra
             length += sizes[start + j]
         found.append((line, length, block, place))
     line, length, block, place = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((place, block, -length, line))
+    # The longest first, by hash among equals; of a block that occurs twice in a line, by place.
+    rank = line.astype(np.uint64) << np.uint64(48) | np.uint64(255) - np.minimum(length, 255).astype(np.uint64) << np.uint64(40) | block >> np.uint64(24)
+    order = np.argsort(rank, kind="stable")
     line, block, place = line[order], block[order], place[order]
     all_ = np.bincount(line, minlength=len(n))
     best = np.arange(len(line)) - np.repeat(np.cumsum(all_) - all_, all_) < BLOCKS
@@ -165,10 +169,10 @@ def _pick(batches):
     for b in batches:
         ids, norms = [], []
         for text, wanted in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-            lines = normal_lines(text)
+            lines = text.split(b"\n")
             for w in wanted:
                 ids.append(w["id"])
-                norms.append(lines[w["line"]])
+                norms += normal_lines(lines[w["line"]])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.binary()).cast(pa.string())], ["id", "norm"])
 
 
@@ -276,17 +280,19 @@ def keepers(keyed: DataFrame) -> DataFrame:
     nodes = lines.select("id", "fp", F.concat("keys", simhash_blocks()).alias("keys"))
     links = ws.write(forest_links(ws, nodes, None, RADIUS), "links")
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    checked = ws.write(verify(links.select("a", "b").distinct(), _texts(ws, keyed, lines, ids)), "checked")
+    norms = _texts(ws, keyed, lines, ids)
+    checked = ws.write(verify(links.select("a", "b").distinct(), norms), "checked")
     good = checked.where("ok").select("a", "b")
     roots = ws.write(components(ws, good), "roots")
     failed = ws.write(failed_groups(links, checked), "failed")
     if failed.limit(1).count():
+        # Lines of a group that are near any other have a link of its forest, so their texts are at hand.
         more = ws.write(cross_links(ws, nodes, roots, failed, None, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        extra = ws.write(verify(more, _texts(ws, keyed, lines, ids)).where("ok").select("a", "b"), "extra")
+        extra = ws.write(verify(more, norms).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = ws.write(components(ws, known.unionByName(extra)), "roots")
+    ws.drop(norms, links, checked)
     grouped = lines.select("id", "best").join(roots, lines.id == roots.node, "left").select("best", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
@@ -298,12 +304,12 @@ def _rebuild(batches, at: int):
     for b in batches:
         out, total, gone = [], [], []
         for text, keep in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-            lines = text.split("\n") if text else []
-            keep = set(keep or ())
+            lines, keep = text.split("\n") if text else [], keep or ()
             real = [bool(x.strip(WHITE)) for x in lines]  # just those that normal_lines leaves words
-            dropped = sum(r and i not in keep for i, r in enumerate(real))
+            dropped = sum(real) - len(keep)  # only such lines are kept
             if dropped:
-                text = "\n".join(x for i, x in enumerate(lines) if i in keep or not real[i]) if keep else ""
+                keep = set(keep)
+                text = "\n".join([x for i, x in enumerate(lines) if i in keep or not real[i]]) if keep else ""
             out.append(text)
             total.append(len(lines))
             gone.append(dropped)
