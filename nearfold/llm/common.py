@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,18 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder
-    is made and set as the checkpoint folder.
+    Only where a session in local mode names none, as in tests, a temporary
+    folder is made and set as the checkpoint folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="nearfold-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block; those of the caller come back."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Workspace:
     """Named intermediate tables of one operator call in the shared folder.
 
@@ -53,9 +72,9 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        # Without a collection the driver knows of no shuffle files that can go, and they fill the executors' disks.
-        self.spark.sparkContext._jvm.System.gc()
+        # Shuffle files of a written table have no reader left, but would stay until the driver collects garbage.
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._nearfold_path = path
         return out
