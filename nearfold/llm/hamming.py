@@ -157,8 +157,11 @@ def forest_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int,
 
 
 def failed_groups(links: DataFrame, checked: DataFrame) -> DataFrame:
-    """key: the groups of ``links`` for which a link that stands for others failed its check (a, b, ok)."""
-    return links.where("key is not null").join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    """key, id: the members of the groups of ``links`` for which a link that stands for others failed its
+    check (a, b, ok). A member near any other of its group is in a link of the group's forest."""
+    forest = links.where("key is not null")
+    keys = forest.join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    return forest.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def _cross(batches, k: int, ratio: float):
@@ -186,13 +189,12 @@ def labelled_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: in
     return arrow_map(in_runs(rows), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 
-def cross_links(ws: Workspace, fps: DataFrame, labels: DataFrame, failed: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:
+def cross_links(fps: DataFrame, labels: DataFrame, failed: DataFrame, k: int, ratio: float = 0.0) -> DataFrame:
     """All linked pairs of different labels from the failed groups.
 
-    labels: node, root; failed: key, of the groups that ``forest_links`` gave for the same rows.
+    labels: node, root; failed: key, id.
     """
-    some = ws.write(dealt(fps, masks, hot_groups(ws, fps, masks)).join(failed, "key", "left_semi"), "touched")
-    some = some.join(labels, F.col("id") == F.col("node"), "left").select(*some.columns, F.coalesce("root", "id").alias("label"))
+    some = failed.join(fps.drop("keys"), "id").join(labels, F.col("id") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("root", "id")).drop("root")
     return arrow_map(in_runs(some), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 

@@ -287,7 +287,7 @@ def keepers(keyed: DataFrame) -> DataFrame:
     failed = ws.write(failed_groups(links, checked), "failed")
     if failed.limit(1).count():
         # Lines of a group that are near any other have a link of its forest, so their texts are at hand.
-        more = ws.write(cross_links(ws, nodes, roots, failed, None, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = ws.write(cross_links(nodes, roots, failed, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
         extra = ws.write(verify(more, norms).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

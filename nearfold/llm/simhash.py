@@ -220,7 +220,7 @@ def _verified(ws: Workspace, docs: DataFrame, classes: DataFrame, nodes: DataFra
     if not failed.limit(1).count():
         return good
     labels = ws.write(components(ws, good), "labels")
-    more = ws.write(cross_links(ws, nodes, labels, failed, masks, radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    more = ws.write(cross_links(nodes, labels, failed, radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
     return good.unionByName(_checked(ws, docs, classes, more, words, similarity).where("ok").select("a", "b"))
 
 
