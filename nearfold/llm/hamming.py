@@ -124,25 +124,44 @@ def _short(off):
         yield x, x + lag
 
 
+def _kruskal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x < y), taken in order, join what is not joined yet."""
+    root: dict[int, int] = {}
+    used = []
+    for a, b in zip(x.tolist(), y.tolist()):
+        while (up := root.get(a, a)) != a:
+            root[a] = a = root.get(up, up)
+        while (up := root.get(b, b)) != b:
+            root[b] = b = root.get(up, up)
+        used.append(a != b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return np.array(used, bool)
+
+
 def _forest(batches, k: int, ratio: float):
     for cols, off in runs(batches):
         ids, fps, sizes, n = cols["id"], cols["fp"], cols.get("size"), np.diff(off)
-        a, b, keys = [], [], [np.zeros(0, np.int64)]
-        # Short runs: every pair at once. Long runs: a spanning forest each.
-        for x, y in _short(off):
-            ok = _near(fps, sizes, x, y, k, ratio)
-            a.append(ids[x[ok]])
-            b.append(ids[y[ok]])
-        short = sum(map(len, a))
+        # Short runs: every pair at once. Pairs of the least id come first, so that the forests of different groups are alike.
+        x, y = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (list(zip(*((x[ok], y[ok]) for x, y in _short(off) for ok in [_near(fps, sizes, x, y, k, ratio)]))) or ([], [])))
+        run = np.searchsorted(off, x, side="right") - 1
+        x, y = np.where(ids[x] <= ids[y], x, y), np.where(ids[x] <= ids[y], y, x)
+        order = np.lexsort((ids[y], ids[x], run))
+        x, y, run = x[order], y[order], run[order]
+        used = _kruskal(x, y)
+        left = np.bincount(run[~used], minlength=len(n))[run] > 0
+        a, b, keys, whole = [ids[x[used]]], [ids[y[used]]], [cols["key"][off[run[used]]]], [~left[used]]
+        # Long runs: a spanning forest each.
         for i in np.flatnonzero(n > SHORT):
             s = slice(off[i], off[i + 1])
-            if edges := spanning(fps[s], sizes[s] if ratio else None, k, ratio):
-                e = np.array(edges) + off[i]
+            at = off[i] + np.argsort(ids[s], kind="stable")
+            if edges := spanning(fps[at], sizes[at] if ratio else None, k, ratio):
+                e = at[np.array(edges)]
                 a.append(ids[e[:, 0]])
                 b.append(ids[e[:, 1]])
                 keys.append(np.full(len(e), cols["key"][off[i]]))
-        pairs, keys = _pairs(a, b), np.concatenate([np.zeros(short, np.int64), *keys])
-        yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(keys, mask=np.arange(len(keys)) < short)], ["a", "b", "key"])
+                whole.append(np.zeros(len(e), bool))
+        yield pa.RecordBatch.from_arrays([*_pairs(a, b).columns, pa.array(np.concatenate(keys), mask=np.concatenate(whole))], ["a", "b", "key"])
 
 
 def forest_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: int, ratio: float = 0.0) -> DataFrame:

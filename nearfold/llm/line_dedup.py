@@ -52,6 +52,8 @@ SURE = 2
 BLOCKS = 8
 WHITE = SPACES.decode()
 SIMILARITY = 0.8
+#: Lines of the similarity have a ratio of lengths of at least that in characters; in bytes, which take part in the comparison, a little less is let pass.
+LENGTHS = 0.7
 
 
 def normal_lines(text: bytes) -> list[bytes]:
@@ -146,7 +148,7 @@ def simhash_blocks():
 
 
 def _lines(batches):
-    """doc_id, row, text -> doc_id, row, line number, hash, SimHash and block keys of each line with a word."""
+    """doc_id, row, text -> doc_id, row, line number, hash, SimHash, length and block keys of each line with a word."""
     digest = xxhash.xxh64_intdigest
     for b in batches:
         at, no, norms, known = [], [], [], {}
@@ -160,28 +162,30 @@ def _lines(batches):
         at, which = pa.array(at, pa.int64()), pa.array(norms, pa.int32())
         hs = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
         fps, keys = fingerprints(own)
-        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(hs).take(which), pa.array(fps).take(which), keys.take(which)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "id", "fp", "keys"])
+        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), *(c.take(which) for c in (pa.array(hs), pa.array(fps), pa.array(map(len, own), pa.int32()), keys))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "id", "fp", "size", "keys"])
 
 
 def _pick(batches):
     """text, wanted (structs of line, id) -> id, norm for the wanted lines."""
     for b in batches:
-        ids, norms = [], []
-        for text, wanted in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+        wanted = b.column(1)
+        found, at, no = [], wanted.offsets.to_numpy().tolist(), wanted.values.field("line").to_pylist()
+        for text, x, y in zip(utf8(b.column(0)), at, at[1:]):
             lines = text.split(b"\n")
-            for w in wanted:
-                ids.append(w["id"])
-                norms += normal_lines(lines[w["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.binary()).cast(pa.string())], ["id", "norm"])
+            found += [lines[j] for j in no[x:y]]
+        norms = normal_lines(b"\n".join(found)) if found else []
+        yield pa.RecordBatch.from_arrays([wanted.values.field("id").slice(at[0], at[-1] - at[0]), pa.array(norms, pa.binary()).cast(pa.string())], ["id", "norm"])
 
 
 def _texts(ws: Workspace, keyed: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
     """id, norm of the given ids, from each line's first occurrence."""
-    wanted = lines.join(ids, "id", "left_semi").groupBy("best.row").agg(F.collect_list(F.struct("best.line", "id")).alias("wanted"))
+    wanted = ws.write(lines.join(ids, "id", "left_semi").groupBy("best.row").agg(F.collect_list(F.struct("best.line", "id")).alias("wanted")), "wanted")
     # Hashing the small side spares a sort of whole texts.
     found = arrow_map(keyed.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted"), _pick, "id long, norm string")
-    return ws.write(found.dropDuplicates(["id"]), "norms")
+    norms = ws.write(found.dropDuplicates(["id"]), "norms")
+    ws.drop(wanted)
+    return norms
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -273,12 +277,12 @@ def verify(links: DataFrame, norms: DataFrame) -> DataFrame:
 def keepers(keyed: DataFrame) -> DataFrame:
     """(row, keep): the numbers of the lines to keep, for rows that keep any. ``keyed``: doc_id, row, text."""
     ws = Workspace(keyed.sparkSession, "lines")
-    found = arrow_map(keyed, _lines, f"doc_id long, row {keyed.schema['row'].dataType.simpleString()}, line int, id long, fp long, keys array<long>")
+    found = arrow_map(keyed, _lines, f"doc_id long, row {keyed.schema['row'].dataType.simpleString()}, line int, id long, fp long, size int, keys array<long>")
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row", "line")
     # Lines of one hash but different fingerprints are different lines.
-    lines = ws.write(found.groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("keys").alias("keys")), "distinct")
-    nodes = lines.select("id", "fp", F.concat("keys", simhash_blocks()).alias("keys"))
-    links = ws.write(forest_links(ws, nodes, None, RADIUS), "links")
+    lines = ws.write(found.groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
+    nodes = lines.select("id", "fp", "size", F.concat("keys", simhash_blocks()).alias("keys"))
+    links = ws.write(forest_links(ws, nodes, None, RADIUS, LENGTHS), "links")
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     norms = _texts(ws, keyed, lines, ids)
     checked = ws.write(verify(links.select("a", "b").distinct(), norms), "checked")
@@ -287,7 +291,7 @@ def keepers(keyed: DataFrame) -> DataFrame:
     failed = ws.write(failed_groups(links, checked), "failed")
     if failed.limit(1).count():
         # Lines of a group that are near any other have a link of its forest, so their texts are at hand.
-        more = ws.write(cross_links(nodes, roots, failed, RADIUS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = ws.write(cross_links(nodes, roots, failed, RADIUS, LENGTHS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
         extra = ws.write(verify(more, norms).where("ok").select("a", "b"), "extra")
         if extra.limit(1).count():
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -296,7 +300,9 @@ def keepers(keyed: DataFrame) -> DataFrame:
     grouped = lines.select("id", "best").join(roots, lines.id == roots.node, "left").select("best", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
-    return alone.unionByName(tops).groupBy("best.row").agg(F.collect_list("best.line").alias("keep"))
+    kept = ws.write(alone.unionByName(tops).groupBy("best.row").agg(F.collect_list("best.line").alias("keep")), "kept")
+    ws.drop(lines, roots)
+    return kept
 
 
 def _rebuild(batches, at: int):
