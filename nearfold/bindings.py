@@ -3,6 +3,9 @@ form and, for the oracle, as DuckDB common table expressions."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +36,19 @@ RECORDS = """rec AS (SELECT doc_id AS key, sha1(text) AS checksum, doc_id * 7 %
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, w0..w3: 128-bit SimHash of each document's words (md5 of a word gives its 128 signs).
 
-    One aggregation with map-side partial sums; no row per bit.
+    One aggregation with map-side partial sums; no row per bit.  Each sum
+    counts two bits, 32 places apart, in the halves of a long.
     """
     d = read(spark, sf_dir, "documents")
     words = d.select(F.col("doc_id").alias("id"), F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("t")).where("t <> ''").withColumn("h", F.md5(F.col("t").cast("binary")))
-    cols = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long").alias(f"a{k}") for k in range(4)]
-    signs = words.select("id", *cols)
-    sums = signs.groupBy("id").agg(*[F.sum(F.shiftright(f"a{k}", i).bitwiseAND(1) * 2 - 1).alias(f"s{k}_{i}") for k in range(4) for i in range(32)])
-    word = lambda k: sum((F.when(F.col(f"s{k}_{i}") > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(1, 32)), F.when(F.col(f"s{k}_0") > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    halves = words.select("id", *[F.conv(F.substring("h", 16 * k + 1, 16), 16, -10).cast("long").alias(f"a{k}") for k in range(2)])
+    both = F.lit(1 << 32 | 1)
+    sums = halves.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(f"a{k}", i).bitwiseAND(both)).alias(f"s{k}_{i}") for k in range(2) for i in range(32)])
+
+    def word(k: int):
+        ones = (lambda i: F.shiftrightunsigned(f"s{k // 2}_{i}", 32)) if k % 2 == 0 else (lambda i: F.col(f"s{k // 2}_{i}").bitwiseAND(F.lit((1 << 32) - 1)))
+        return reduce(add, [F.when(2 * ones(i) > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(32)])
+
     return sums.select("id", *[word(k).alias(f"w{k}") for k in range(4)])
 
 

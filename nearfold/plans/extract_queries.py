@@ -12,26 +12,28 @@ from nearfold.operators import extract, graph, kernels, links
 from nearfold.registry import query
 from nearfold.sources import files
 
+#: Height and width of a raster.
+SIDE = 64
 IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
 
 def raster_of(v: np.ndarray) -> np.ndarray:
-    """128 x 128 gray picture of 64 values: smooth hills on an 8 x 8 grid with a fine pattern."""
+    """64 x 64 gray picture of 64 values: smooth hills on an 8 x 8 grid with a fine pattern."""
     v = np.asarray(v, np.float64).reshape(8, 8)
-    big = sift.smooth(np.kron(v, np.ones((16, 16))), 2.0)
-    fine = np.kron(v[::-1], np.ones((4, 4)))
+    big = sift.smooth(np.kron(v, np.ones((8, 8))), 2.0)
+    fine = np.kron(v[::-1], np.ones((2, 2)))
     img = 128 + 300 * big + 120 * sift.smooth(np.tile(fine, (4, 4)), 1.0)
     return np.clip(img, 0, 255).astype(np.uint8)
 
 
 def images(spark, sf):
-    """Every twentieth vector as a row of the image source's shape."""
+    """Every vector as a row of the image source's shape."""
 
     def make(batches):
         for pdf in batches:
-            yield pd.DataFrame({"image": [{"origin": f"vec/{i}", "height": 128, "width": 128, "nChannels": 1, "mode": 0, "data": raster_of(v).tobytes()} for i, v in zip(pdf["vec_id"], pdf["embedding"])]})
+            yield pd.DataFrame({"image": [{"origin": f"vec/{i}", "height": SIDE, "width": SIDE, "nChannels": 1, "mode": 0, "data": raster_of(v).tobytes()} for i, v in zip(pdf["vec_id"], pdf["embedding"])]})
 
-    return b.read(spark, sf, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").mapInPandas(make, IMAGE)
+    return b.read(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(make, IMAGE)
 
 
 @query()
@@ -40,7 +42,7 @@ def fx_extract(spark, sf):
     return got.select("url", F.lower(F.hex("checksum")).alias("checksum"), "width", "height", "size", F.size("regions").alias("n_regions"), F.size("features").alias("n_features"))
 
 
-@query("SELECT 'vec/' || vec_id::VARCHAR AS url, 128 AS width, 128 AS height FROM embeddings WHERE vec_id % 20 = 0")
+@query("SELECT 'vec/' || vec_id::VARCHAR AS url, 64 AS width, 64 AS height FROM embeddings")
 def src_image_decode(spark, sf):
     return images(spark, sf).select(F.col("image.origin").alias("url"), "image.width", "image.height")
 
@@ -144,9 +146,9 @@ def fx_pca(spark, sf):
 @query(
     f"WITH {b.FEATURES}, p AS MATERIALIZED (SELECT vec_id, image_id, [" + ", ".join(_proj('"desc"', j) for j in _DIMS) + "] AS v FROM feat) SELECT q.image_id AS q, i.image_id AS i, floor(sqrt(("
     + " + ".join(f"(q.v[{j + 1}] - i.v[{j + 1}]) * (q.v[{j + 1}] - i.v[{j + 1}])" for j in range(len(_DIMS)))
-    + ")::BIGINT) / 20000)::BIGINT AS d, count(*)::BIGINT AS n FROM p q, p i WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id GROUP BY ALL"
+    + ")::BIGINT) / 20000)::BIGINT AS d, count(*)::BIGINT AS n FROM p q, p i WHERE q.image_id % 20 = 0 AND q.image_id <> i.image_id GROUP BY ALL"
 )
 def join_theta_pca(spark, sf):
     """Distances after the projection."""
-    pairs = kernels.image_pairs(_projected(spark, sf), "image_id % 25 = 0", "image_id % 5 = 1")
+    pairs = kernels.image_pairs(_projected(spark, sf), "image_id % 20 = 0", "true")
     return kernels.histogram(pairs, F.floor(F.sqrt(vectors.l2sqr(F.col("q_v"), F.col("i_v"))) / 20000), 1 << 40)

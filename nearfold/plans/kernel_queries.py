@@ -11,9 +11,10 @@ from nearfold.operators import kernels as k
 from nearfold.registry import query
 
 W = f"WITH {b.FEATURES}"
-FG, BG = "image_id % 25 = 0", "image_id % 5 = 1"
+#: The stated query set; it is matched against all images.
+FG, BG = "image_id % 20 = 0", "true"
 L2 = 'list_sum(list_transform(range(1, 65), lambda j: (q."desc"[j] - i."desc"[j]) * (q."desc"[j] - i."desc"[j])))::BIGINT'
-PAIRS = "feat q, feat i WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id"
+PAIRS = "feat q, feat i WHERE q.image_id % 20 = 0 AND q.image_id <> i.image_id"
 LABEL = "lab AS (SELECT *, (SELECT 1) FROM feat)"
 
 
@@ -91,13 +92,13 @@ def fx_sketch(spark, sf):
 _SKETCH16 = f"s16 AS MATERIALIZED (SELECT vec_id, image_id, (" + " + ".join(f"{_bit(chr(34) + 'desc' + chr(34), j, 4000)} * {1 << j}" for j in range(16)) + ")::BIGINT AS sketch FROM feat)"
 
 
-@query(f"{W}, {_SKETCH16} SELECT q.image_id AS q, i.image_id AS i, bit_count(xor(q.sketch, i.sketch))::BIGINT AS d, count(*)::BIGINT AS n FROM s16 q, s16 i WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id AND bit_count(xor(q.sketch, i.sketch)) < 8 GROUP BY ALL")
+@query(f"{W}, {_SKETCH16} SELECT q.image_id AS q, i.image_id AS i, bit_count(xor(q.sketch, i.sketch))::BIGINT AS d, count(*)::BIGINT AS n FROM s16 q, s16 i WHERE q.image_id % 20 = 0 AND q.image_id <> i.image_id AND bit_count(xor(q.sketch, i.sketch)) < 8 GROUP BY ALL")
 def join_theta_sketch(spark, sf):
     pairs = k.image_pairs(k.sketch_bits(b.features(spark, sf), 16, 4000), FG, BG)
     return k.histogram(pairs, F.bit_count(F.col("q_sketch").bitwiseXOR(F.col("i_sketch"))).cast("long"), 8)
 
 
-@query(f"{W}, sq AS MATERIALIZED (SELECT vec_id, image_id, list_transform(\"desc\", lambda x: (x + 1000) // 250) AS v FROM feat), p AS (SELECT q.image_id AS q, i.image_id AS i, list_max(list_transform(range(1, 65), lambda j: abs(q.v[j] - i.v[j]))) AS m, list_sum(list_transform(range(1, 65), lambda j: abs(q.v[j] - i.v[j])))::BIGINT AS d FROM sq q, sq i WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id) SELECT q, i, d, count(*)::BIGINT AS n FROM p WHERE m <= 1 AND d < 40 GROUP BY ALL")
+@query(f"{W}, sq AS MATERIALIZED (SELECT vec_id, image_id, list_transform(\"desc\", lambda x: (x + 1000) // 250) AS v FROM feat), p AS (SELECT q.image_id AS q, i.image_id AS i, list_max(list_transform(range(1, 65), lambda j: abs(q.v[j] - i.v[j]))) AS m, list_sum(list_transform(range(1, 65), lambda j: abs(q.v[j] - i.v[j])))::BIGINT AS d FROM sq q, sq i WHERE q.image_id % 20 = 0 AND q.image_id <> i.image_id) SELECT q, i, d, count(*)::BIGINT AS n FROM p WHERE m <= 1 AND d < 40 GROUP BY ALL")
 def join_theta_sq(spark, sf):
     v = b.features(spark, sf).select("vec_id", "image_id", F.transform("desc", lambda x: F.floor((x + 1000) / 250)).alias("v"))
     return k.histogram(k.image_pairs(v, FG, BG), vectors.off_by_one(F.col("q_v"), F.col("i_v")), 40)
@@ -163,7 +164,7 @@ def fx_vq_assign(spark, sf):
     return _soft(spark, sf, 1).select("vec_id", "word")
 
 
-@query(f"{W}, {_WORDS} SELECT q.image_id AS q, i.image_id AS i, count(*)::BIGINT AS n FROM vq q JOIN vq i USING (word) WHERE q.rank <= 2 AND i.rank <= 2 AND q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id GROUP BY ALL")
+@query(f"{W}, {_WORDS} SELECT q.image_id AS q, i.image_id AS i, count(*)::BIGINT AS n FROM vq q JOIN vq i USING (word) WHERE q.rank <= 2 AND i.rank <= 2 AND q.image_id % 20 = 0 AND q.image_id <> i.image_id GROUP BY ALL")
 def join_vq_word(spark, sf):
     vq = _soft(spark, sf, 2)
     return k.word_matches(vq.where(FG), vq.where(BG))
@@ -177,7 +178,7 @@ def fx_multiprobe_lsh(spark, sf):
     return k.lsh_keys(b.features(spark, sf).select("vec_id", "desc"), 2, 6, 4000).select("vec_id", "key")
 
 
-@query(f"{W}, {_LSH} SELECT q.image_id AS q, i.image_id AS i, count(*)::BIGINT AS n FROM lsh q JOIN lsh i USING (key) WHERE q.image_id % 25 = 0 AND i.image_id % 5 = 1 AND q.image_id <> i.image_id GROUP BY ALL")
+@query(f"{W}, {_LSH} SELECT q.image_id AS q, i.image_id AS i, count(*)::BIGINT AS n FROM lsh q JOIN lsh i USING (key) WHERE q.image_id % 20 = 0 AND q.image_id <> i.image_id GROUP BY ALL")
 def join_lsh_sortmerge(spark, sf):
     keys = k.lsh_keys(b.features(spark, sf).select("vec_id", "image_id", "desc"), 2, 6, 4000).select("image_id", F.col("key").alias("word"))
     return k.word_matches(keys.where(FG), keys.where(BG))
@@ -186,9 +187,9 @@ def join_lsh_sortmerge(spark, sf):
 _T = "i.r::DOUBLE / q.r AS s, i.x - q.x * (i.r::DOUBLE / q.r) AS dx, i.y - q.y * (i.r::DOUBLE / q.r) AS dy"
 
 
-@query(f"{W} SELECT q.vec_id AS a, i.vec_id AS b, round(s, 6) AS s, round(dx, 6) AS dx, round(dy, 6) AS dy FROM (SELECT q.vec_id, q.r, q.x, q.y FROM feat q) q, feat i, LATERAL (SELECT {_T}) WHERE q.vec_id % 125 = 0 AND i.image_id % 5 = 1 AND q.vec_id // 5 <> i.image_id")
+@query(f"{W} SELECT q.vec_id AS a, i.vec_id AS b, round(s, 6) AS s, round(dx, 6) AS dx, round(dy, 6) AS dy FROM (SELECT q.vec_id, q.r, q.x, q.y FROM feat q) q, feat i, LATERAL (SELECT {_T}) WHERE q.vec_id // 5 % 20 = 0 AND q.vec_id // 5 <> i.image_id")
 def fx_transform(spark, sf):
-    m = _pairs(spark, sf).where("q_vec_id % 125 = 0").alias("m")
+    m = _pairs(spark, sf).alias("m")
     s, dx, dy = k.transform_of("m")
     return m.select(F.col("q_vec_id").alias("a"), F.col("i_vec_id").alias("b"), F.round(s, 6).alias("s"), F.round(dx, 6).alias("dx"), F.round(dy, 6).alias("dy"))
 

@@ -138,9 +138,27 @@ def test_nibble_and_clusters(spark):
     assert graph.asymmetric(edge).count() == 0
 
 
-def test_pack_sizes():
-    out = graph.pack_sizes([(1, 8), (2, 5), (3, 5), (4, 3), (5, 2)], 8)
-    assert out == [(1, 0, 0), (3, 1, 0), (4, 1, 5), (2, 2, 0), (5, 2, 5)]
+@pytest.mark.parametrize("seed", range(4))
+def test_packing(seed):
+    """Every cluster in one container, none over its capacity, and the largest that fits always taken."""
+    rng, capacity = random.Random(seed), 16
+    counts = {n: rng.randrange(0, 30) for n in range(2, capacity + 1)}
+    boxes, ranks = {}, {n: [] for n in counts}
+    for n, first, many, box, each, start in graph.packing(counts, capacity):
+        for k in range(many):
+            boxes.setdefault(box + k // each, []).append((start + k % each * n, n))
+            ranks[n].append(first + k)
+    assert all(ranks[n] == list(range(k)) for n, k in counts.items())
+    assert sorted(boxes) == list(range(len(boxes)))
+    left = dict(counts)
+    for box in sorted(boxes):
+        at, top = 0, max(n for n, k in left.items() if k)
+        for start, n in sorted(boxes[box]):
+            assert start == at and n == max(m for m, k in left.items() if k and m <= min(top, capacity - at))
+            left[n] -= 1
+            at += n
+        assert at <= capacity
+    assert graph.packing({}) == []
 
 
 def test_binary_formats(spark):
