@@ -1,14 +1,14 @@
 """Fuzzy line dedup over the corpus.
 
 Lines are normalised (ASCII lower case, words alone) and exact repeats fall
-together first.  Distinct lines get a 64-bit SimHash of their distinct words and
+together first.  Distinct lines get a 64-bit SimHash of their distinct words, weighted by size, and
 meet where they share a pigeonhole block: one of the SimHash's (always within
 SURE bits) or one of the line's own, a run of two words (one in the shortest
 lines) at the same place, counted from the start in the first half and from the
 end in the second, so that a word put in or left out shifts nothing beyond it.
-A line takes part with its BLOCKS blocks of most bytes, which are the rarest.
-Lines of n <= 2 * BLOCKS + 1 words with fewer than n // 2 of them changed one
-for one always meet; the tests and the README give the recall beyond that.
+A line takes part with its BLOCKS blocks of most bytes, which are the rarest,
+but for blocks of under LONG bytes where it has ALWAYS longer ones.  Lines with
+one of these blocks unchanged always meet; tests and README give the recall.
 Lines that meet and differ in at most RADIUS bits are verified by edit
 similarity of the normalised lines, and one occurrence stays of each connected
 group: the first by (doc_id, line).  Lines with small changes in nearly every
@@ -44,12 +44,16 @@ from .common import SPACES, Workspace, arrow_map, positional, row_key, signed, t
 from .components import components
 from .hamming import block_masks, cross_links, failed_groups, forest_links
 
-#: Most bits that lines of a link differ in: 998 of 1000 pairs of edit similarity 0.8 or more do.
+#: Most bits that lines of a link differ in: 997 of 1000 pairs of edit similarity 0.8 or more do.
 RADIUS = 20
 #: Bits within which lines share a SimHash block, whatever their words.
 SURE = 2
 #: Blocks of words that a line is found by.
-BLOCKS = 8
+BLOCKS = 9
+#: Bytes of a block to take part, where a line has this many longer ones.
+LONG, ALWAYS = 10, 3
+#: A word weighs 1 in the SimHash, and 1 more from each of these sizes in bytes.
+WEIGHTS = np.array([0, 4, 7, 10])
 WHITE = SPACES.decode()
 SIMILARITY = 0.8
 #: Lines of the similarity have a ratio of lengths of at least that in characters; in bytes, which take part in the comparison, a little less is let pass.
@@ -69,7 +73,7 @@ _FOLD = bytes(32 if b < 128 and b != 10 and not chr(b).isalnum() else b for b in
 def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     """64-bit SimHash of the distinct words of each line (none empty) and the line's block keys, as signed 64-bit integers.
 
-    Frequent words count once a line; by number of occurrences they would make unlike lines near.
+    A word counts once a line, by its size: frequent words are short, and would make unlike lines near.
     """
     out, keys, step = [np.zeros(0, np.int64)], [], 8192
     for i in range(0, len(lines), step):
@@ -86,15 +90,17 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
         own = np.sort(line * len(known) + codes)
         own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         line = own // len(known)
-        h = hashes[own - line * len(known)]
-        n = np.bincount(line, minlength=len(words))
-        first, bits = np.cumsum(n) - n, np.zeros((len(n), 64), bool)
-        # Eight bits' counts fit the bytes of one number, in lines of fewer than 256 words.
-        ones = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], first, axis=0).view(np.uint8)
-        bits[:] = ones > (n >> 1)[:, None]
-        for j in np.flatnonzero(n > 255):
-            one = np.unpackbits(h[first[j] : first[j] + n[j]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            bits[j] = 2 * one.sum(axis=0, dtype=np.int64) > n[j]
+        own -= line * len(known)
+        h, n = hashes[own].view(np.uint8).reshape(-1, 8), np.bincount(line, minlength=len(words))
+        weight = np.searchsorted(WEIGHTS, np.diff(cuts), side="right")[own]
+        first = np.cumsum(n) - n
+        total = np.add.reduceat(weight, first)
+        # Eight bits' sums fit the bytes of one number, in lines that weigh less than 256.
+        ones = np.add.reduceat(_LANES[h] * weight.astype(np.uint64)[:, None], first, axis=0).view(np.uint8)
+        bits = ones > (total >> 1)[:, None]
+        for j in np.flatnonzero(total > 255):
+            at = slice(first[j], first[j] + n[j])
+            bits[j] = 2 * (weight[at] @ np.unpackbits(h[at], axis=1, bitorder="little")) > total[j]
         out.append(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel())
     return np.concatenate(out), pa.chunked_array(keys, pa.list_(pa.int64())).combine_chunks()
 
@@ -134,11 +140,12 @@ def word_blocks(hashes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.Arra
     # The longest first, by hash among equals; of a block that occurs twice in a line, by place.
     rank = line.astype(np.uint64) << np.uint64(48) | np.uint64(255) - np.minimum(length, 255).astype(np.uint64) << np.uint64(40) | block >> np.uint64(24)
     order = np.argsort(rank, kind="stable")
-    line, block, place = line[order], block[order], place[order]
-    all_ = np.bincount(line, minlength=len(n))
-    best = np.arange(len(line)) - np.repeat(np.cumsum(all_) - all_, all_) < BLOCKS
+    line, block, place, length = line[order], block[order], place[order], length[order]
+    every = np.bincount(line, minlength=len(n))
+    at = np.arange(len(line)) - np.repeat(np.cumsum(every) - every, every)
+    best = (at < BLOCKS) & ((at < ALWAYS) | (length >= LONG))
     keys = _mix(block[best] + place[best].astype(np.uint64)).view(np.int64)
-    ends = np.concatenate([[0], np.cumsum(np.minimum(all_, BLOCKS))]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(line[best], minlength=len(n)))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
 
 

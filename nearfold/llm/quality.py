@@ -140,13 +140,18 @@ def fit(texts: list[bytes], good: list[int], steps: int = 150, penalty: float =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list:
-    """At most ``rows`` (text, label) pairs, by hash of doc_id; the chosen label
-    rows are that bound, so they may be broadcast."""
+    """At most ``rows`` (text, label) pairs of at most ``chars`` characters, by hash of doc_id.
+
+    A doc_id counts once, by its least label and text; so the hash share bounds
+    what is broadcast and what comes to the driver at about twice ``rows``.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     # A share by hash rather than the least hashes, which every task would send to the driver.
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(max(1, known.count() // rows))) == 0).limit(2 * rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id").limit(2 * rows).collect()
-    return sorted(found, key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id, r.y, r.text))[:rows]
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(max(1, known.count() // rows))) == 0)
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars)
+    found = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return sorted(found, key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id))[:rows]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, signed, utf8
+from .common import Workspace, arrow_map, positional, row_key, signed, utf8
 from .components import components
 from .hamming import cross_links, failed_groups, forest_links, labelled_links
 
@@ -41,8 +41,6 @@ SEED = 42
 ROW_COST, PAIR_COST = 200.0, 3.0
 #: Greatest threshold of a part: a part has a mask for every choice of so many of its bits.
 MOST_OUT = 2
-#: Fingerprints that a plan is made for at least, so that small corpora are searched as large ones are.
-PLAN_FROM = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -156,7 +154,7 @@ def masks_of(part: list[int], threshold: int) -> list[int]:
 
 def plan_masks(joint: np.ndarray, n: int, radius: int, max_parts: int = 4) -> list[int]:
     """The cheapest allocation over all numbers of parts; the thresholds' sum is radius - parts + 1."""
-    found, size = [], max(n, PLAN_FROM)
+    found, size = [], max(n, 2)
     for parts in range(2, max(max_parts, radius + 1) + 1):
         bits, cost = group_bits(joint, n, parts), []
         for part in bits:
@@ -292,10 +290,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, simil
     """One document of each component with all its columns: that of the least
     doc_id (null last). Of fully repeated rows one stays."""
     _, final = _classify(docs, words, radius, similarity, exact)
-    keep = final.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__row"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    same = (keyed["__key"] == keep["__row"]) & keyed["doc_id"].cast("long").eqNullSafe(keep["__doc"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["__key", "doc_id"]).drop("__key")
+    base = positional(docs)
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    keyed = base.withColumn("row", F.xxhash64(doc_id, text)).withColumn("key", row_key(doc_id, text))
+    keep = final.select(F.col("best.doc_id").alias("doc"), F.col("best.row").alias("kept"))
+    same = (F.col("row") == F.col("kept")) & F.col(doc_id).cast("long").eqNullSafe(F.col("doc"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["key"]).select(*base.columns).toDF(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

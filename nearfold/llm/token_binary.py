@@ -23,6 +23,7 @@ empty table; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 from functools import partial
@@ -73,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold an added token, which the library cuts out first, go to it whole too.
+        self.odd = "|".join([ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         vocab = self.tokenizer.get_vocab()
         #: Bytes that each id stands for: a byte-level piece has a character for each.
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -136,7 +138,7 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(texts), SLICE):
             part = texts.slice(i, SLICE)
-            odd = pc.match_substring_regex(part, ODD)
+            odd = pc.match_substring_regex(part, self.odd)
             ids, counts = self._plain(part.filter(pc.invert(odd)))
             raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
             plain = iter(raw[a:b] for a, b in zip([0, *ends], ends))

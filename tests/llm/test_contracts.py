@@ -55,7 +55,6 @@ def _ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_binary.default_tokenizer())
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 0], "<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -75,6 +74,11 @@ def test_tokens_round_trip(spark, docs, rows):
         token_binary.open_segment(body, dictionary + b"x")
 
 
+def test_tokens_equal_library():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b\nc d", "<|endoftext", "plain text, twice.\nplain text", None]
+    assert [token_binary.with_end(x) for x in token_binary.encoder(token_binary.default_tokenizer()).encode(texts)] == _ids(texts)
+
+
 def test_tokens_of_table(spark, data):
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_binary.op2_token_binary(spark, data).collect()}
     table = _docs(spark, data).collect()
