@@ -321,6 +321,8 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == _lev(a, b)
         a, b = (" ".join(rng.choice(["ab", "abc", "x", "yz"]) for _ in range(rng.randrange(1, 9))) for _ in range(2))
         assert line_dedup.similar(a, b, 0.7) == (_lev(a, b) <= 0.3 * max(len(a), len(b)) + 1e-9)
+        assert line_dedup.edits_by_word(a.split(" "), b.split(" "), 1e9) >= _lev(a, b)
+        assert not (line_dedup.far_apart([a], [b], 0.7)[0] and line_dedup.similar(a, b, 0.7))
 
 
 def _near_lines(texts):
