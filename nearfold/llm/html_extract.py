@@ -1,11 +1,15 @@
 """Main-text extraction from HTML by tree scoring.
 
 A tolerant parser builds a small tree.  Blocks that are boilerplate by tag,
-role or class go.  Every other block with text of its own is a paragraph: it
-passes points for its length and commas, discounted by link density, to its
-ancestors, in full to the parent, half to the next and less further up.  The
-best container (with bonus for article and main) and those of its siblings
-that score are kept, and their blocks are joined in page order.
+role or name go; a name is boilerplate where it has a word of NOT_CONTENT and
+none beside words of layout.  What goes by its name or as a form comes back
+where the page has no other article, or where a form holds most of the page.
+Every other block with text of its own is a paragraph: it passes points for
+its length and commas, discounted by link density, to LEVELS ancestors, in
+full to the parent, half to the next and less further up.  The best container
+(with bonus for article and main) and those of its siblings that score are
+kept, and their blocks are joined in page order.  Of several articles the best
+with a headline counts, as readers' comments have none.
 
 Defined results: null html and pages without text give the empty text; a tag
 or comment cut off by the end of the page goes; character references are
@@ -32,12 +36,19 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 DROP = RAW | frozenset("head nav footer aside form button select input dialog menu canvas audio video map label fieldset search".split())
 #: Words in class or id, and roles, that mark boilerplate.
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination pager popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words of layout, which may stand beside those.
+FRAME = frozenset("area bar block body bottom box btn button buttons col column container content cta form global group header inner item items left link links list main menu outer page panel post posts primary reader right row secondary section signup site slot text thread top unit user users widget wrap wrapper".split())
+#: Names that an article has for its own headline.
+HEADS = frozenset("banner header masthead".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A start tag of the key closes an open element of the values, looking no further than the scope's elements.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
 IN_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
+#: Ancestors that a paragraph passes points to.
+LEVELS = 8
+
 _OPEN = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _REST = re.compile(r"""((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+|=)*+)>""")
@@ -46,36 +57,51 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "drop", "soft", "score", "chars", "linked", "titled")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, soft: bool = False):
+        self.tag, self.parent, self.drop, self.soft = tag, parent, drop, soft
         self.kids: list[Node | str] = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.titled = 0.0, 0, 0, False
+
+
+def _boilerplate(name: str, inside_article: bool) -> bool:
+    words = [w.lower() for w in _WORDS.findall(name)]
+    bad = NOT_CONTENT.intersection(words)
+    return bool(bad - HEADS if inside_article else bad) and all(w in NOT_CONTENT or w in FRAME or w.isdigit() for w in words)
 
 
-def _unwanted(tag: str, rest: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, rest: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether the element goes, and whether it may come back."""
     if tag in DROP or tag == "header" and not inside_article:
-        return True
+        return True, tag == "form"
     if not rest or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in _ATTR.findall(rest):
         name, value = name.lower(), unescape(a or b or c)
-        if name in ("class", "id") and not NOT_CONTENT.isdisjoint(x.lower() for x in _WORDS.findall(value)):
-            return True
-        if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if name in ("class", "id"):
+            named = named or any(_boilerplate(x, inside_article) for x in value.split())
+        elif name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, False
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True, False
+    return named, named
 
 
 def parse(html: str) -> Node:
     root = at = Node("html", None)
-    articles, i, n = 0, 0, len(html)
-
-    def close(node: Node) -> Node:
-        return node.parent or root
+    opened: dict[str, int] = {}
+    i, n = 0, len(html)
+
+    def shut(node: Node) -> Node:
+        """Closes everything up to the node; what is open then."""
+        nonlocal at
+        while at is not node:
+            opened[at.tag] -= 1
+            at = at.parent
+        opened[at.tag] -= 1
+        return at.parent
 
     while i < n:
         m = _OPEN.search(html, i)
@@ -100,16 +126,12 @@ def parse(html: str) -> Node:
             break
         tag, rest, i = name[1].lower(), end[1], end.end()
         if html[j + 1] == "/":
-            up = at
+            up = at if opened.get(tag) else root
             while up is not root and up.tag != tag:
                 # An inline end tag does not reach out of a block.
                 up = root if tag not in BLOCK and up.tag in BLOCK else up.parent
             if up is not root:
-                while at is not up:
-                    articles -= at.tag in ("article", "main")
-                    at = close(at)
-                articles -= at.tag in ("article", "main")
-                at = close(at)
+                at = shut(up)
             elif tag == "br":
                 at.kids.append(" ")
             continue
@@ -118,25 +140,23 @@ def parse(html: str) -> Node:
         if tag == "br":
             at.kids.append(" ")
             continue
-        stop, shut = (), ()
+        stop, closed = (), ()
         if tag in CLOSES:
-            shut, stop = CLOSES[tag], SCOPE[tag]
+            closed, stop = CLOSES[tag], SCOPE[tag]
         elif tag in IN_P:
-            shut, stop = ("p",), ("td", "th", "button", "caption", "object")
-        if shut:
+            closed, stop = ("p",), ("td", "th", "button", "caption", "object")
+        # Elements that aren't open anywhere need no look at the ancestors.
+        if any(opened.get(t) for t in closed):
             up, found = at, None
             while up is not root and up.tag not in stop:
-                if up.tag in shut:
+                if up.tag in closed:
                     found = up
                     if tag in IN_P and tag not in CLOSES:
                         break
                 up = up.parent
             if found:
-                while at is not found:
-                    articles -= at.tag in ("article", "main")
-                    at = close(at)
-                at = close(at)
-        node = Node(tag, at, _unwanted(tag, rest, articles > 0))
+                at = shut(found)
+        node = Node(tag, at, *_unwanted(tag, rest, bool(opened.get("article") or opened.get("main"))))
         at.kids.append(node)
         if tag in VOID:
             continue
@@ -147,11 +167,45 @@ def parse(html: str) -> Node:
             e = html.find(">", k.end())
             i = e + 1 if e >= 0 else n
             continue
-        articles += tag in ("article", "main")
+        opened[tag] = opened.get(tag, 0) + 1
         at = node
     return root
 
 
+def restore(root: Node) -> None:
+    """Takes back what went by name or as a form, where the page's article would go with it."""
+    kept, gone, forms, headlines, order, stack = False, [], [], {False: 0, True: 0}, [], [(root, False)]
+    while stack:
+        node, out = stack.pop()
+        if node.drop and not node.soft:
+            continue
+        out = out or node.drop
+        order.append(node)
+        if node.tag in ("article", "main"):
+            kept = kept or not out
+            gone += [node] if out else []
+        headlines[out] += node.tag == "h1"
+        if node.drop and node.tag == "form":
+            forms.append(node)
+        node.chars = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        stack += [(k, out) for k in node.kids if not isinstance(k, str)]
+    for node in reversed(order):
+        if node.parent:
+            node.parent.chars += node.chars
+    total = root.chars
+    for form in forms:
+        if 2 * form.chars > total:
+            form.drop = False
+    # Comments are no article where the headline stands apart. An ancestor that is restored has restored its own.
+    for node in [] if kept or headlines[False] and not headlines[True] else gone:
+        while node.parent and node.soft is not None:
+            node.drop = node.drop and not node.soft
+            node.soft = None
+            node = node.parent
+    for node in order:
+        node.chars = 0
+
+
 def _measure(root: Node) -> list[Node]:
     """Sets chars and linked (text inside links) of all kept nodes, bottom up; gives them parents first."""
     order, stack = [], [(root, False)]
@@ -191,6 +245,18 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _outermost(order: list[Node], tag: str) -> list[Node]:
+    """The kept elements of a tag that are in no other; ``order`` has parents first."""
+    inside: set[Node] = set()
+    out = []
+    for node in order:
+        if node.parent and (node.parent in inside or node.parent.tag == tag):
+            inside.add(node)
+        elif node.tag == tag:
+            out.append(node)
+    return out
+
+
 def choose(root: Node) -> list[Node]:
     """The best container and its kept siblings, in page order."""
     order = _measure(root)
@@ -203,19 +269,29 @@ def choose(root: Node) -> list[Node]:
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - _density(node))
         # A block's own text counts for itself where it also holds blocks, as in unclosed markup.
         up, depth = (node if any(isinstance(k, Node) and k.tag in BLOCK for k in node.kids) else node.parent or node), 0
-        while up:
+        while up and depth < LEVELS:
             up.score += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
             up, depth = up.parent, depth + 1
+    for node in reversed(order):
+        node.titled = node.titled or node.tag == "h1"
+        if node.parent and node.titled:
+            node.parent.titled = True
     for node in order:
         node.score *= (1 - _density(node)) * (1.5 if node.tag in ("article", "main") else 0.8 if node.tag in ("ul", "ol", "dl", "table") else 1)
     best = max(order, key=lambda x: x.score)
     if not best.score:
         return []
-    up, whole = best, None
-    while up:
-        whole = up if up.tag in ("article", "main") else whole
-        up = up.parent
-    if whole:
+    articles, mains = _outermost(order, "article"), _outermost(order, "main")
+    comments: set[Node] = set()
+    for node in [x for x in articles if not x.titled]:
+        while node and node not in comments:
+            comments.add(node)
+            node = node.parent
+    if mains and 2 * sum(x.chars for x in articles) < sum(x.chars for x in mains):
+        articles = []
+    # A main part counts whole where most of its text is in no article.
+    whole = max([x for x in articles if x.titled] or articles or mains, key=lambda x: x.score, default=None)
+    if whole and whole.chars:
         best = whole
     if not best.parent:
         return [best]
@@ -226,7 +302,7 @@ def choose(root: Node) -> list[Node]:
             kept.append(k)
         elif isinstance(k, Node) and not k.drop:
             own = len(_inline(k).strip())
-            if k.score >= least or not whole and (k.tag == "p" or re.fullmatch("h[1-6]", k.tag)) and own and _density(k) < 0.25:
+            if k.score >= least and not (best.titled and k in comments) or not whole and (k.tag == "p" or re.fullmatch("h[1-6]", k.tag)) and own and _density(k) < 0.25:
                 kept.append(k)
     return kept
 
@@ -261,7 +337,11 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(html: str) -> str:
-    return "\n".join(blocks(choose(parse(html)))) if html else ""
+    if not html:
+        return ""
+    root = parse(html)
+    restore(root)
+    return "\n".join(blocks(choose(root)))
 
 
 def _extract(batches):

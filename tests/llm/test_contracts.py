@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -437,6 +438,7 @@ def test_line_dedup_edges(spark, docs, rows, empty):
 
 # --- op7 ---
 
+LONG = "Long enough words, with commas, to be a paragraph of its own in this article."
 PAGES = [
     ("<nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>One,\n two&nbsp;three.<p>Four<br>five &copy 2</article><footer>F</footer>", "T & U\nOne, two three.\nFour five © 2"),
     ("<body><div id=content><p>Text, with commas, and more of it here.</p><ul><li>one<li>two</ul></div><div class='comments'><p>Nice, really, nice, post, friend</p></div>", "Text, with commas, and more of it here.\none\ntwo"),
@@ -449,9 +451,26 @@ PAGES = [
     ("plain, text only", "plain, text only"),
     ("<article>" + "<div>" * 3000 + "<p>deep, text" + "</div>" * 3000, "deep, text"),
     ('<article><p title="a>b" class=x>quoted</p></article>', "quoted"),
+    (f'<div class="page with-sidebar"><article><h1>T</h1><p>{LONG}</p></article><div class="sidebar">s</div></div>', f"T\n{LONG}"),
+    (f'<div class="content-wrapper sidebar"><article><h1>T</h1><p>{LONG}</p></article></div>', f"T\n{LONG}"),
+    (f'<article><div class="entry-header"><h1>T</h1></div><p>{LONG}</p></article>', f"T\n{LONG}"),
+    (f'<article><div class="header"><h1>T</h1></div><p>{LONG}</p></article>', f"T\n{LONG}"),
+    (f'<article><h1>T</h1><div id="related-work"><p>a {LONG}</p></div><p class="share-price">b {LONG}</p></article>', f"T\na {LONG}\nb {LONG}"),
+    (f"<form id=f><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><input></div></form>", f"T\n{LONG}\n{LONG}"),
+    (f"<body><article><h1>T</h1><p>{LONG}</p></article><section><h2>Said</h2><article><p>{LONG * 4}</p></article></section>", f"T\n{LONG}"),
+    (f"<main><article><h1>T</h1><p>{LONG}</p></article><section><article><p>{LONG * 4}</p></article></section></main>", f"T\n{LONG}"),
+    (f'<div class="comments"><article><p>{LONG * 2}</p></article></div><div><h1>T</h1><p>{LONG}</p></div>', f"T\n{LONG}"),
 ]
 
 
+def test_deep_pages():
+    """Time is in proportion to the page, whatever its depth."""
+    for page in ("<div>x" * 60000, "<p>" + "<span>x" * 60000 + "</b>" * 60000, "<article>" * 30000 + "x" + "<ul><li>" * 30000):
+        start = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize("html,text", PAGES)
 def test_main_text(html, text):
     assert html_extract.main_text(html or "") == text
