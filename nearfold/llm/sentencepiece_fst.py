@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three transducers are compiled from a model file: the normaliser (spaces to
-the space mark, one mark in front), the pieces (a path for each piece, state:
-the piece just read) and the byte fallback (characters that no piece covers to
-their UTF-8 byte pieces).  A text is composed with them and encoded by the
-shortest path in the tropical semiring.
-
-Arc weights make the shortest path the byte-pair result: going from piece x to
-piece y costs 0 where merging would leave the boundary between them, else
-infinity.  A text has exactly one path of finite weight, for each of its
-prefixes, hence one live state at each position.  Weights are computed from
-the merge order on first use.  No piece reads past the start of a run of
-spaces or a character outside the vocabulary, so the path of a text is the
-paths of its chunks in a row, and a chunk's path is kept for its next
-occurrence.  Runs of two spaces or more are compiled by their length, because
-their pieces all have one score and the leftmost merge wins.
+Three transducers are compiled from a model file: the normaliser (one state;
+an arc from space to the space mark, all else as it is, and one mark put out
+in front), the pieces (a tree of states over their characters, whose leaves
+put out the piece and lead back to a state that remembers it) and the byte
+fallback (arcs from characters that no piece covers to their UTF-8 byte
+pieces).  A text is composed with them arc by arc, and its ids are the labels
+of the shortest path in the tropical semiring (least sum), found best first.
+
+Arc weights of a unigram model are the pieces' negative scores.  Those of a
+byte-pair model make the shortest path the merges' result: going from piece x
+to piece y costs 0 where merging would leave the boundary between them, else
+infinity; the arcs of infinite weight are not made.  These weights are worked
+out from the merge order on first use.  No byte-pair piece reads past the
+start of a run of spaces, so the path of a text is the paths of its chunks in
+a row, and a chunk's path is kept for its next occurrence.  In runs of two
+spaces or more all pieces have one score and the leftmost merge wins; their
+transducer reads a run from the left, in time in proportion to its length.
 
 Defined results: null text is as empty text and has no ids; decoding gives the
 text back but for space marks, which come back as spaces; bytes that are not
-UTF-8 decode to U+FFFD; null or repeated doc_ids keep their rows; an empty
-table gives an empty table; further columns are ignored.
+UTF-8 decode to U+FFFD; of paths of equal weight the one with the longer
+pieces in front wins; null or repeated doc_ids keep their rows; very long
+texts and words take time in proportion to their length; an empty table gives
+an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import partial
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, strings, table
 
 MARK = "▁"
-BPE = 2
+UNIGRAM, BPE = 1, 2
+ZERO, ONE = float("inf"), 0.0  # of the tropical semiring
 #: Distinct chunks that a worker keeps; beyond it the memory is emptied.
 MEMO = 1_200_000
 
@@ -73,42 +79,64 @@ def _fields(b: bytes):
         yield key >> 3, value
 
 
-def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
-    """(piece, score, type) by id, and whether a mark is put in front. Refuses what isn't compiled here."""
-    pieces, front = [], True
+def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool, int]:
+    """(piece, score, type) by id, whether a mark is put in front, and the kind. Refuses what isn't compiled here."""
+    pieces, front, kind = [], True, UNIGRAM
     for number, value in _fields(open(path, "rb").read()):
         if number == 1:
             f = dict(_fields(value))
             pieces.append((f[1].decode(), float(np.frombuffer(f.get(2, b"\0\0\0\0"), "<f4")[0]), f.get(3, 1)))
-        elif number == 2 and dict(_fields(value)).get(3, 1) != BPE:
-            raise ValueError("only byte-pair models are compiled")
+        elif number == 2:
+            kind = dict(_fields(value)).get(3, 1)
+            if kind not in (UNIGRAM, BPE):
+                raise ValueError("only unigram and byte-pair models are compiled")
         elif number == 3:
             f = dict(_fields(value))
             front = bool(f.get(3, 1))
             if f.get(2) or f.get(4, 1):
                 raise ValueError("only identity normalisers that keep white space are compiled")
-    return pieces, front
+    return pieces, front, kind
 
 
 class Transducer:
     NORMAL, BYTE = 1, 6
 
     def __init__(self, path: str):
-        pieces, self.front = read_model(path)
+        self.compile(*read_model(path))
+
+    def compile(self, pieces: list[tuple[str, float, int]], front: bool, kind: int) -> None:
+        self.front, self.kind = front, kind
         self.text = [p for p, _, _ in pieces]
         self.score = [s for _, s, _ in pieces]
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t == self.NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == self.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.ids))
+        #: Arcs of the normaliser's state that change what they read.
+        self.normal = {" ": MARK}
         self.parts: dict[str, tuple[str, str] | None] = {}
-        #: Whether the arc from one piece to another has weight 0, as far as known; and how many are.
-        self.weights: dict[str, dict[str, bool]] = {}
+        #: Weights of the arcs from one piece to another, as far as known; and how many are.
+        self.weights: dict[str, dict[str, float]] = {}
         self.known = 0
         self.runs: dict[int, list[int]] = {}
         self.memo: dict[str, bytes] = {}
-        #: Pieces that merging makes at all; only these have arcs.
-        self.made = {p: i for p, i in self.ids.items() if len(p) == 1 or self.split(p) is not None}
+        #: Pieces that have arcs: of a byte-pair model those that merging makes at all.
+        self.made = {p: i for p, i in self.ids.items() if kind == UNIGRAM or len(p) == 1 or self.split(p) is not None}
+        #: Weight of an arc of the byte fallback: beyond that of any piece, so that it is for characters without one.
+        self.unknown = ONE if kind == BPE else 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
+        if kind == UNIGRAM and max((self.score[i] for i in self.ids.values()), default=0.0) > 0:
+            raise ValueError("weights below zero")
+        #: The tree of pieces: arcs by character, and the piece that ends in each state.
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[str | None] = [None]
+        for p in self.made:
+            state = 0
+            for c in p:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(None)
+                state = self.arcs[state][c]
+            self.ends[state] = p
 
     # --- compilation ---
 
@@ -158,84 +186,100 @@ class Transducer:
             else:
                 made_b, b = score[ids[b]], db[0]
 
+    def weight(self, x: str, y: str) -> float:
+        """Weight of the arc from the state after piece x (empty: at the start, or after bytes) over piece y."""
+        if self.kind == UNIGRAM:
+            return -self.score[self.made[y]]
+        return ONE if not x or self.finite(x, y) else ZERO
+
     def run(self, n: int) -> list[int]:
-        """Pieces of n space marks in a row."""
+        """Pieces of n space marks in a row: the leftmost of two neighbours that merge, as long as any do."""
         if n not in self.runs:
-            # Merging goes on at the left end alone, so long runs repeat the longest piece there is.
-            symbols, _ = self.merge([MARK] * n)
-            self.runs[n] = [self.ids[s] for s in symbols]
+            sizes = {len(p) for p in self.ids if not p.strip(MARK)}
+            done: list[int] = []
+            left = n
+            while left:
+                size, left = 1, left - 1
+                while not (done and done[-1] + size in sizes) and left and size + 1 in sizes:
+                    size, left = size + 1, left - 1
+                done.append(size)
+                while len(done) > 1 and done[-2] + done[-1] in sizes:
+                    size = done.pop()
+                    done[-1] += size
+            out = [self.ids[MARK * k] for k in done]
+            if n > 256:
+                return out
+            self.runs[n] = out
         return self.runs[n]
 
     # --- composition and shortest path ---
 
     def path(self, s: str) -> list[int]:
-        """Ids of a chunk without runs of marks; every character is a piece.
-
-        All weights are 0 or infinite and one path is finite, so the shortest
-        path is found depth first, longest pieces first; states from which
-        the end can't be reached are left once and for all.
-        """
-        made, weights, n = self.made, self.weights, len(s)
-        out: list[str] = []
-        dead: set[tuple[int, str]] = set()
-        at, size = 0, min(n, self.longest)
-        while at < n:
-            last = out[-1] if out else None
-            arcs = None if last is None else weights.get(last) or weights.setdefault(last, {})
-            while size:
-                piece = s[at : at + size]
-                if piece in made and (not dead or (at, piece) not in dead):
-                    if arcs is None:
-                        break
-                    ok = arcs.get(piece)
-                    if ok is None:
-                        ok = arcs[piece] = self.finite(last, piece)
+        """Labels of the shortest path of a normalised chunk, best first; of equal weights the furthest."""
+        arcs, ends, made, known, n = self.arcs, self.ends, self.made, self.weights, len(s)
+        heap, back = [(ONE, 0, "", 0, "")], {}
+        while heap:
+            total, place, last, at, before = heappop(heap)
+            here = (-place, last)
+            if here in back:
+                continue
+            back[here] = (at, before)
+            at = -place
+            if at == n:
+                break
+            weights = known.get(last)
+            if weights is None:
+                weights = known[last] = {}
+            state, j = arcs[0].get(s[at]), at + 1
+            if state is None or ends[state] is None:
+                # The byte fallback reads one character.
+                heappush(heap, (total + self.unknown, -j, "", at, last))
+            while state is not None:
+                piece = ends[state]
+                if piece is not None:
+                    w = weights.get(piece)
+                    if w is None:
+                        w = weights[piece] = self.weight(last, piece)
                         self.known += 1
-                    if ok:
-                        break
-                size -= 1
-            if size:
-                out.append(piece)
-                at += size
-                size = min(n - at, self.longest)
-            else:
-                back = out.pop()
-                at -= len(back)
-                dead.add((at, back))
-                size = len(back) - 1
+                    if w < ZERO:
+                        heappush(heap, (total + w, -j, piece, at, last))
+                if j == n:
+                    break
+                state = arcs[state].get(s[j])
+                j += 1
+        out = []
+        while here[0]:
+            before = back[here]
+            out.append([made[here[1]]] if here[1] else [self.bytes[b] for b in s[before[0] : here[0]].encode("utf-8", "surrogatepass")])
+            here = before
         if self.known > 4 * MEMO:
-            weights.clear()
+            known.clear()
             self.known = 0
-        return [made[p] for p in out]
+        return [i for ids in reversed(out) for i in ids]
 
     def chunk(self, text: str) -> list[int]:
-        """Ids of a chunk: spaces, then other characters."""
-        word = text.lstrip(" ")
+        """Ids of a normalised chunk: space marks, then other characters."""
+        word = text.lstrip(MARK)
         n = len(text) - len(word)
-        s = MARK * min(n, 1) + word
-        out: list[int] = []
-        at = 0
-        for i, c in enumerate(s):
-            if c not in self.ids:
-                out += self.path(s[at:i]) if i > at else []
-                out += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
-                at = i + 1
-        out += self.path(s[at:]) if at < len(s) else []
-        if n > 1:
-            joined = bool(out) and self.text[out[0]] != MARK and self.text[out[0]].startswith(MARK)
-            out = self.run(n - 1) + out if joined else self.run(n) + out[1:]
-        return out
+        if n < 2 or self.kind == UNIGRAM:
+            return self.path(text)
+        out = self.path(MARK + word)
+        joined = self.text[out[0]] != MARK and self.text[out[0]].startswith(MARK)
+        return self.run(n - 1) + out if joined else self.run(n) + out[1:]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if MARK in text:
-            text = text.replace(MARK, " ")
+        # Composition with the normaliser: it has one state, so each of its arcs is one replacement.
+        for c, to in self.normal.items():
+            text = text.replace(c, to)
+        if self.front:
+            text = MARK + text
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        chunks = _CHUNK.findall(f" {text}" if self.front else text)
+        chunks = _CHUNK.findall(text) if self.kind == BPE else [text]
         for c in set(chunks).difference(memo):
             memo[c] = np.array(self.chunk(c), dtype="<u4").tobytes()
         return b"".join([memo[c] for c in chunks])
@@ -260,8 +304,8 @@ def _utf8(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
 
-#: A line break or spaces and what follows them up to the next space or break.
-_CHUNK = re.compile(r"\n| *[^ \n]+| +")
+#: A line break or space marks and what follows them up to the next mark or break.
+_CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _machines: dict[str, Transducer] = {}
 
 

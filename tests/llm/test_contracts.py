@@ -110,6 +110,41 @@ def test_pieces_equal_library():
         assert np.frombuffer(fst.encode(" " * n + "x"), "<u4").tolist() == sp.encode(" " * n + "x")
 
 
+def test_long_runs_and_words():
+    import sentencepiece
+
+    path = sentencepiece_fst.default_model()
+    fst, sp = sentencepiece_fst.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for n in [*range(40, 200), 5000]:
+        for text in (" " * n, "a" + " " * n + "b\n" + " " * n):
+            assert np.frombuffer(fst.encode(text), "<u4").tolist() == sp.encode(text)
+    start = time.process_time()
+    for text in (" " * 1_000_000, "ab" * 500_000):
+        assert fst.decode(np.frombuffer(fst.encode(text), "<u4").tolist()) == text
+    assert time.process_time() - start < 20
+
+
+def test_shortest_path_of_unigram_scores():
+    """Least sum over all ways to cut a text into pieces, characters without a piece as bytes."""
+    rng = random.Random(8)
+    mark = sentencepiece_fst.MARK
+    for _ in range(30):
+        known = {*"abc", mark, *("".join(rng.choice("abc" + mark) for _ in range(rng.randrange(2, 5))) for _ in range(15))}
+        pieces = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(p, -rng.random() * len(p) - 0.1, 1) for p in sorted(known)]
+        fst = sentencepiece_fst.Transducer.__new__(sentencepiece_fst.Transducer)
+        fst.compile(pieces, True, sentencepiece_fst.UNIGRAM)
+        cost = {p: -s for p, s, t in pieces if t == 1}
+        for _ in range(20):
+            text = "".join(rng.choice("abc é") for _ in range(rng.randrange(1, 12)))
+            norm = mark + text.replace(" ", mark)
+            best = [0.0] + [np.inf] * len(norm)
+            for j in range(1, len(norm) + 1):
+                best[j] = min(best[i] + (cost[norm[i:j]] if norm[i:j] in cost else fst.unknown if norm[i:j] == "é" else np.inf) for i in range(j))
+            ids = np.frombuffer(fst.encode(text), "<u4").tolist()
+            assert abs(sum(cost.get(fst.text[i], 0.0) for i in ids) + text.count("é") * fst.unknown - best[-1]) < 1e-6
+            assert fst.decode(ids) == text
+
+
 def test_pieces_of_rows(spark, docs, rows, empty):
     got = sentencepiece_fst.round_trip(docs).collect()
     assert len(got) == len(rows) and all(r.same for r in got)
