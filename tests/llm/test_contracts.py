@@ -561,6 +561,32 @@ def test_leaks(spark, empty, docs):
     assert decontaminate.drop_leaks(docs, bench).count() == docs.count()
 
 
+def test_leaks_of_every_benchmark_row(spark):
+    """Texts that share an item_id, and those that have none, are all searched."""
+    texts = [" ".join(f"{p}{i}" for i in range(20)) for p in "abcd"]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, "one word less")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x y z {t} u v w") for i, t in enumerate(texts)] + [(9, texts[2]), (9, texts[2]), (None, f"{texts[0]} {texts[1]}"), (5, "say one, word less!"), (6, "one word more")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.start, r.stop) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == Counter([(0, 1, 3, 23), (1, 1, 3, 23), (2, None, 3, 23), (3, None, 3, 23), (9, None, 0, 20), (9, None, 0, 20), (None, 1, 0, 20), (5, 2, 1, 4)])
+
+
+def test_leaks_equal_all_pairs(spark, data):
+    """Every document aligned with every item."""
+    docs = [(r.doc_id, decontaminate.folded(r.text or "")) for r in _docs(spark, data).collect()]
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    items = [(r.item_id, decontaminate.folded(r.text or "")) for r in bench.collect()]
+    want = set()
+    for item, target in items:
+        number = {w: i for i, w in enumerate(dict.fromkeys(target))}
+        x = np.array([number[w] for w in target])
+        for doc, words in docs:
+            y = np.array([number.get(w, -1) for w in words])
+            # Words in common bound the score.
+            if 2 * sum((Counter(target) & Counter(words)).values()) >= decontaminate.LEAK_FROM * 2 * len(x) and decontaminate.align(x, y)[0] >= decontaminate.LEAK_FROM * 2 * len(x):
+                want.add((doc, item))
+    assert want and {(r.doc_id, r.item_id) for r in decontaminate.leaks(_docs(spark, data), bench).collect()} == want
+
+
 # --- op9 ---
 
 
