@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map, signed
+from .components import components
 
 #: Members of a chunk of a large group, and the share of fingerprints (one in so many, by hash) from which large groups are told.
 CHUNK, SAMPLE = 512, 16
 #: Rows of a run up to which all its pairs are compared at once.
 SHORT = 12
+#: Pairs of a row that are checked at once in the second look.
+LOOK = 16
 
 
 def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -208,13 +211,72 @@ def labelled_links(ws: Workspace, fps: DataFrame, masks: list[int] | None, k: in
     return arrow_map(in_runs(rows), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
 
 
-def cross_links(fps: DataFrame, labels: DataFrame, failed: DataFrame, k: int, ratio: float = 0.0) -> DataFrame:
-    """All linked pairs of different labels from the failed groups.
+def _first_look(batches, check):
+    for b in batches:
+        ok = check(b.column(2).to_pylist(), b.column(3).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
 
-    labels: node, root; failed: key, id.
+def _second_look(batches, k: int, ratio: float, check):
+    """Links that pass the check and connect what isn't yet. A pair is looked at in the first of the groups that hold both."""
+    for cols, off in runs(batches):
+        ids, fps, sizes, keys, body = (cols.get(n) for n in ("id", "fp", "size", "keys", "body"))
+        a, b = [], []
+        for i in np.flatnonzero(np.diff(off) > 1):
+            at = np.arange(off[i], off[i + 1])
+            label, key = cols["label"][at], cols["key"][off[i]]
+            if (label == label[0]).all():
+                continue
+            held = [frozenset(x[x < key].tolist()) for x in keys[at]]
+            for x in range(len(at) - 1):
+                y = x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & _near(fps, sizes, at[x], at[x + 1 :], k, ratio))
+                y = y[[held[x].isdisjoint(held[j]) for j in y.tolist()]] if len(y) else y
+                y = y[np.argsort(np.bitwise_count(fps[at[y]] ^ fps[at[x]]), kind="stable")]
+                while len(y):
+                    some, y = y[:LOOK], y[LOOK:]
+                    for j, ok in zip(some.tolist(), check([body[at[x]]] * len(some), body[at[some]].tolist())):
+                        if ok and label[j] != label[x]:
+                            a.append(ids[at[x]])
+                            b.append(ids[at[j]])
+                            label[label == label[j]] = label[x]
+                    y = y[label[y] != label[x]]
+        yield _pairs([np.array(a, np.int64)], [np.array(b, np.int64)])
+
+
+def merged(ws: Workspace, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the components joined that ``links`` (a, b) connect; only the components' roots take part."""
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    tops = ws.write(components(ws, ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).toDF("old", "top"), "tops")
+    moved = roots.join(tops, roots.root == tops.old, "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = tops.join(roots, roots.node == tops.old, "left_anti").select("old", "top")
+    return ws.write(moved.unionByName(new.toDF("node", "root")), "roots")
+
+
+def settle(ws: Workspace, links: DataFrame, fps: DataFrame, k: int, ratio: float, bodies: DataFrame, check) -> DataFrame:
+    """(node, root) of the components of all linked pairs of ``fps`` that pass ``check``.
+
+    ``links`` are those of ``forest_links``; ``bodies`` (id, body) has what the
+    check compares for all their ends; ``check`` takes two lists of bodies and
+    gives a list of truths.  The forests' links are checked first.  Where one
+    fails that stands for others, the near pairs of its group that aren't
+    connected yet are checked inside the group, nearest first, and just the
+    links that connect come out; so no linked pair goes unchecked whose ends
+    aren't connected anyhow, and no row is made for each pair.
     """
-    some = failed.join(fps.drop("keys"), "id").join(labels, F.col("id") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("root", "id")).drop("root")
-    return arrow_map(in_runs(some), partial(_cross, k=k, ratio=ratio), "a long, b long").where("a <> b").distinct()
+    one = lambda id_, body: bodies.select(F.col("id").alias(id_), F.col("body").alias(body))
+    pairs = links.select("a", "b").distinct().join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
+    seen = ws.write(arrow_map(pairs, partial(_first_look, check=check), "a long, b long, ok boolean"), "checked")
+    roots = ws.write(components(ws, seen.where("ok").select("a", "b")), "roots")
+    failed = ws.write(failed_groups(links, seen), "failed")
+    if not failed.limit(1).count():
+        return roots
+    # A member is in as many groups as it has keys, at most.
+    groups = failed.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    some = failed.join(groups, "id").join(fps.drop("keys"), "id").join(bodies, "id").join(roots, F.col("id") == F.col("node"), "left")
+    some = some.withColumn("label", F.coalesce("root", "id")).drop("node", "root")
+    more = ws.write(arrow_map(in_runs(some), partial(_second_look, k=k, ratio=ratio, check=check), "a long, b long").distinct(), "more")
+    return merged(ws, roots, more) if more.limit(1).count() else roots
 
 
 def block_masks(k: int, bits: int = 64) -> list[int]:

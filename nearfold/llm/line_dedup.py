@@ -41,8 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, Workspace, arrow_map, positional, row_key, signed, table, utf8
-from .components import components
-from .hamming import block_masks, cross_links, failed_groups, forest_links
+from .hamming import block_masks, forest_links, settle
 
 #: Most bits that lines of a link differ in: 997 of 1000 pairs of edit similarity 0.8 or more do.
 RADIUS = 20
@@ -288,20 +287,12 @@ def far_apart(x: list[str], y: list[str], similarity: float = SIMILARITY) -> np.
     return gone > 2 * room
 
 
-def _verify(batches):
-    for b in batches:
-        x, y, ok = b.column(2).to_pylist(), b.column(3).to_pylist(), []
-        for i in range(0, len(x), 1024):
-            far = far_apart(x[i : i + 1024], y[i : i + 1024]).tolist()
-            ok += [not f and similar(v, w) for f, v, w in zip(far, x[i : i + 1024], y[i : i + 1024])]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-
-def verify(links: DataFrame, norms: DataFrame) -> DataFrame:
-    """Adds ok: the two lines are similar."""
-    one = lambda id_, text: norms.select(F.col("id").alias(id_), F.col("norm").alias(text))
-    pairs = links.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
-    return arrow_map(pairs, _verify, "a long, b long, ok boolean")
+def all_similar(x: list[str], y: list[str]) -> list[bool]:
+    ok = []
+    for i in range(0, len(x), 1024):
+        far = far_apart(x[i : i + 1024], y[i : i + 1024]).tolist()
+        ok += [not f and similar(v, w) for f, v, w in zip(far, x[i : i + 1024], y[i : i + 1024])]
+    return ok
 
 
 def keepers(keyed: DataFrame) -> DataFrame:
@@ -315,18 +306,9 @@ def keepers(keyed: DataFrame) -> DataFrame:
     links = ws.write(forest_links(ws, nodes, None, RADIUS, LENGTHS), "links")
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     norms = _texts(ws, keyed, lines, ids)
-    checked = ws.write(verify(links.select("a", "b").distinct(), norms), "checked")
-    good = checked.where("ok").select("a", "b")
-    roots = ws.write(components(ws, good), "roots")
-    failed = ws.write(failed_groups(links, checked), "failed")
-    if failed.limit(1).count():
-        # Lines of a group that are near any other have a link of its forest, so their texts are at hand.
-        more = ws.write(cross_links(nodes, roots, failed, RADIUS, LENGTHS).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        extra = ws.write(verify(more, norms).where("ok").select("a", "b"), "extra")
-        if extra.limit(1).count():
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = ws.write(components(ws, known.unionByName(extra)), "roots")
-    ws.drop(norms, links, checked)
+    # Lines of a group that are near any other have a link of its forest, so all texts to be compared are at hand.
+    roots = settle(ws, links, nodes, RADIUS, LENGTHS, norms.toDF("id", "body"), all_similar)
+    ws.drop(norms, links)
     grouped = lines.select("id", "best").join(roots, lines.id == roots.node, "left").select("best", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map, positional, row_key, signed, utf8
 from .components import components
-from .hamming import cross_links, failed_groups, forest_links, labelled_links
+from .hamming import forest_links, labelled_links, settle
 
 SEED = 42
 #: Cost of a row dealt to a group against that of a pair compared in memory.
@@ -183,23 +183,33 @@ def _sets(batches, words: int):
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*b.schema.names[:-1], "set"])
 
 
+def alike(x: list, y: list, similarity: float) -> list[bool]:
+    """Whether the pairs of shingle sets have that Jaccard similarity."""
+    ok = []
+    for a, b in zip(x, y):
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        ok.append(both >= similarity * (len(a) + len(b) - both))
+    return ok
+
+
 def _alike(batches, similarity: float):
     for b in batches:
-        ok = []
-        for x, y in zip(b.column(2), b.column(3)):
-            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= similarity * (len(x) + len(y) - both))
+        ok = alike(*([v.values.to_numpy(zero_copy_only=False) for v in b.column(i)] for i in (2, 3)), similarity)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _checked(ws: Workspace, docs: DataFrame, classes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b, ok for links between fingerprints: their first documents' shingle sets have that Jaccard similarity."""
+def _set_table(ws: Workspace, docs: DataFrame, classes: DataFrame, links: DataFrame, words: int) -> DataFrame:
+    """fp, set: the shingle sets of the ends' first documents."""
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = classes.join(ends, "fp", "left_semi").select("fp", "best.row")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
     found = keyed.join(wanted.hint("shuffle_hash"), "row").select("fp", "text")
-    sets = ws.write(arrow_map(found, partial(_sets, words=words), "fp long, set array<long>").dropDuplicates(["fp"]), "sets")
+    return ws.write(arrow_map(found, partial(_sets, words=words), "fp long, set array<long>").dropDuplicates(["fp"]), "sets")
+
+
+def _checked(ws: Workspace, docs: DataFrame, classes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b, ok for links between fingerprints: their first documents' shingle sets have that Jaccard similarity."""
+    sets = _set_table(ws, docs, classes, links, words)
     one = lambda end, name: sets.select(F.col("fp").alias(end), F.col("set").alias(name))
     pairs = links.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
     return ws.write(arrow_map(pairs, partial(_alike, similarity=similarity), "a long, b long, ok boolean"), "checked")
@@ -209,17 +219,12 @@ def _verified(ws: Workspace, docs: DataFrame, classes: DataFrame, nodes: DataFra
     """Links whose components are those of all pairs within the radius and of the similarity.
 
     As in line dedup: a spanning forest first, and where a link of it fails,
-    all pairs of its groups that are not connected yet.
+    pairs of its groups that are not connected yet.
     """
     links = ws.write(forest_links(ws, nodes, masks, radius), "links")
-    checked = _checked(ws, docs, classes, links.select("a", "b").distinct(), words, similarity)
-    good = checked.where("ok").select("a", "b")
-    failed = ws.write(failed_groups(links, checked), "failed")
-    if not failed.limit(1).count():
-        return good
-    labels = ws.write(components(ws, good), "labels")
-    more = ws.write(cross_links(nodes, labels, failed, radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    return good.unionByName(_checked(ws, docs, classes, more, words, similarity).where("ok").select("a", "b"))
+    sets = _set_table(ws, docs, classes, links, words).toDF("id", "body")
+    roots = settle(ws, links, nodes, radius, 0.0, sets, partial(alike, similarity=similarity))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _prefixes(batches, words: int, similarity: float):
