@@ -43,8 +43,8 @@ from .common import arrow_map, strings, table
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 ZERO, ONE = float("inf"), 0.0  # of the tropical semiring
-#: Distinct chunks that a worker keeps; beyond it the memory is emptied.
-MEMO = 1_200_000
+#: Distinct chunks, and arc weights, that a worker keeps; beyond it that memory is emptied.
+MEMO, WEIGHTS = 400_000, 800_000
 
 
 def default_model() -> str:
@@ -252,7 +252,7 @@ class Transducer:
             before = back[here]
             out.append([made[here[1]]] if here[1] else [self.bytes[b] for b in s[before[0] : here[0]].encode("utf-8", "surrogatepass")])
             here = before
-        if self.known > 4 * MEMO:
+        if self.known > WEIGHTS:
             known.clear()
             self.known = 0
         return [i for ids in reversed(out) for i in ids]
