@@ -4,8 +4,9 @@ A plan is a list of masks such that any two fingerprints within the radius
 agree under at least one mask.  Rows are dealt out by a hash of (mask, value &
 mask) and sorted by it, and each run of equal keys is one group; inside a
 group a spanning forest of the links is enough, because only connectivity is
-asked for.  Groups of many members are dealt over pairs of bounded chunks, so
-that no task holds an unbounded group and no link is lost.
+asked for.  Groups of many members are dealt over pairs of chunks, so that no
+link is lost; chunks grow with the square root of the group, so that a group of
+n makes under n * sqrt(n / CHUNK) rows and a task holds 2 * sqrt(n * CHUNK).
 
 Two rows are linked when they share a group, differ in at most k bits and,
 where a ratio is given, the lesser size is at least that of the greater.
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import Workspace, arrow_map, signed
 from .components import components
 
-#: Members of a chunk of a large group, and the share of fingerprints (one in so many, by hash) from which large groups are told.
-CHUNK, SAMPLE = 512, 16
+#: Members up to which a group stays whole, and the share of fingerprints (one in so many, by hash) from which large groups are told.
+CHUNK, SAMPLE = 4096, 16
 #: Rows of a run up to which all its pairs are compared at once.
 SHORT = 12
-#: Pairs of a row that are checked at once in the second look.
-LOOK = 16
+#: Pairs of a row that are checked at once in the second look, and members up to which a group stays whole there, where a pair costs far more.
+LOOK, WHOLE = 16, 512
 
 
 def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -58,14 +59,23 @@ def hot_groups(ws: Workspace, fps: DataFrame, masks: list[int] | None) -> DataFr
     """
     sample = grouped(fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLE)) == 0), masks)
     hot = sample.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > CHUNK)
-    return ws.write(hot.select("g", F.ceil(F.col("n") * SAMPLE / CHUNK).cast("int").alias("chunks")), "hot")
+    return ws.write(hot.select("g", F.ceil(F.sqrt(F.col("n") * SAMPLE / CHUNK)).cast("int").alias("chunks")), "hot")
+
+
+def _chunk():
+    return F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
+
+
+def _others(c):
+    """The chunks that chunk ``c`` of two at least is paired with."""
+    return F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != c)
 
 
 def dealt(fps: DataFrame, masks: list[int] | None, hot: DataFrame) -> DataFrame:
     """``fps`` and key: rows of a group meet under a key, large groups under one for each pair of chunks."""
     rows = grouped(fps, masks).join(hot, "g", "left")
-    c = F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("g", F.least(c, j), F.greatest(c, j)))
+    c = _chunk()
+    pairs = F.transform(_others(c), lambda j: F.xxhash64("g", F.least(c, j), F.greatest(c, j)))
     keys = F.when(F.isnull("chunks"), F.array("g")).otherwise(pairs)
     return rows.select(*[c for c in fps.columns if c != "keys"], F.explode(keys).alias("key"))
 
@@ -218,18 +228,20 @@ def _first_look(batches, check):
 
 
 def _second_look(batches, k: int, ratio: float, check):
-    """Links that pass the check and connect what isn't yet. A pair is looked at in the first of the groups that hold both."""
+    """Links that pass the check and connect what isn't yet. A pair is looked at in the first of the groups that hold both,
+    a pair of one chunk just where the chunk is at home."""
     for cols, off in runs(batches):
         ids, fps, sizes, keys, body = (cols.get(n) for n in ("id", "fp", "size", "keys", "body"))
         a, b = [], []
         for i in np.flatnonzero(np.diff(off) > 1):
             at = np.arange(off[i], off[i + 1])
-            label, key = cols["label"][at], cols["key"][off[i]]
+            label, key, chunk, home = cols["label"][at], cols["group"][off[i]], cols["chunk"][at], cols["home"][at]
             if (label == label[0]).all():
                 continue
             held = [frozenset(x[x < key].tolist()) for x in keys[at]]
             for x in range(len(at) - 1):
-                y = x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & _near(fps, sizes, at[x], at[x + 1 :], k, ratio))
+                meet = (label[x + 1 :] != label[x]) & (home[x] | (chunk[x + 1 :] != chunk[x]))
+                y = x + 1 + np.flatnonzero(meet & _near(fps, sizes, at[x], at[x + 1 :], k, ratio))
                 y = y[[held[x].isdisjoint(held[j]) for j in y.tolist()]] if len(y) else y
                 y = y[np.argsort(np.bitwise_count(fps[at[y]] ^ fps[at[x]]), kind="stable")]
                 while len(y):
@@ -243,6 +255,18 @@ def _second_look(batches, k: int, ratio: float, check):
         yield _pairs([np.array(a, np.int64)], [np.array(b, np.int64)])
 
 
+def _dealt_failed(failed: DataFrame, some: DataFrame) -> DataFrame:
+    """``some`` (key, id, ...) for the second look: large groups over pairs of chunks, with group (the key before), chunk and home."""
+    large = failed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE)
+    rows = some.join(large.select("key", (F.ceil(F.sqrt(F.col("n") / WHOLE)) + 1).cast("int").alias("chunks")), "key", "left")
+    c = _chunk()
+    deal = lambda key, chunk, home: F.struct(key.alias("key"), chunk.alias("chunk"), home.alias("home"))
+    pairs = F.transform(_others(c), lambda j: deal(F.xxhash64("key", F.least(c, j), F.greatest(c, j)), c, j == F.pmod(c + 1, F.col("chunks"))))
+    deals = F.when(F.isnull("chunks"), F.array(deal(F.col("key"), F.lit(0), F.lit(True)))).otherwise(pairs)
+    rows = rows.select(F.col("key").alias("group"), *[x for x in some.columns if x != "key"], F.explode(deals).alias("deal"))
+    return rows.select("*", "deal.*").drop("deal")
+
+
 def merged(ws: Workspace, roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` (node, root) with the components joined that ``links`` (a, b) connect; only the components' roots take part."""
     root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
@@ -275,7 +299,7 @@ def settle(ws: Workspace, links: DataFrame, fps: DataFrame, k: int, ratio: float
     groups = failed.groupBy("id").agg(F.collect_list("key").alias("keys"))
     some = failed.join(groups, "id").join(fps.drop("keys"), "id").join(bodies, "id").join(roots, F.col("id") == F.col("node"), "left")
     some = some.withColumn("label", F.coalesce("root", "id")).drop("node", "root")
-    more = ws.write(arrow_map(in_runs(some), partial(_second_look, k=k, ratio=ratio, check=check), "a long, b long").distinct(), "more")
+    more = ws.write(arrow_map(in_runs(_dealt_failed(failed, some)), partial(_second_look, k=k, ratio=ratio, check=check), "a long, b long").distinct(), "more")
     return merged(ws, roots, more) if more.limit(1).count() else roots
 
 

@@ -1,5 +1,6 @@
 """Contract queries against brute force, on the small tables and on hand-made rows."""
 
+import itertools
 import random
 import textwrap
 import time
@@ -332,6 +333,42 @@ def test_generalised_pigeonhole_misses_nothing(spark, seed, radius, monkeypatch)
     assert {i: roots.get(i, i) for i in ids} == want
 
 
+@pytest.mark.parametrize("n", [256, 1024])
+def test_rows_of_a_large_group_grow_by_less_than_its_square(spark, n, monkeypatch):
+    monkeypatch.setattr(hamming, "CHUNK", 16)
+    monkeypatch.setattr(hamming, "SAMPLE", 1)
+    ws = common.Workspace(spark, "t")
+    df = spark.createDataFrame([(i, i, [7]) for i in range(n)], "id long, fp long, keys array<long>")
+    rows = hamming.dealt(df, None, hamming.hot_groups(ws, df, None)).collect()
+    assert len(rows) <= n * (n / 16) ** 0.5
+    keys = {}
+    for r in rows:
+        keys.setdefault(r.id, set()).add(r.key)
+    assert all(keys[a] & keys[b] for a in keys for b in keys) and len(keys) == n
+
+
+@pytest.mark.parametrize("whole", [8, 512])
+def test_failed_groups_are_settled_over_chunks(spark, whole, monkeypatch):
+    """One group of 120 near fingerprints, of which few pairs pass the check: all that connect are found, in n * sqrt(n / WHOLE) rows."""
+    monkeypatch.setattr(hamming, "WHOLE", whole)
+    rng, n = random.Random(5), 120
+    bodies = {i: str(rng.randrange(40)) + "x" * rng.randrange(2) for i in range(n)}
+    check = lambda x, y: [abs(int(a.strip("x")) - int(b.strip("x"))) <= ("x" in a and "x" in b) for a, b in zip(x, y)]
+    ws = common.Workspace(spark, "t")
+    df = spark.createDataFrame([(i, 1 << i % 60, 9, [7, i % 3]) for i in range(n)], "id long, fp long, size int, keys array<long>")
+    texts = spark.createDataFrame(list(bodies.items()), "id long, body string")
+    links = ws.write(hamming.forest_links(ws, df, None, 2), "links")
+    roots = {r.node: r.root for r in hamming.settle(ws, links, df, 2, 0.5, texts, check).collect()}
+    want = {i: i for i in bodies}
+    for _ in bodies:
+        for a, b in itertools.combinations(bodies, 2):
+            if check([bodies[a]], [bodies[b]])[0]:
+                want[a] = want[b] = min(want[a], want[b])
+    assert {i: roots.get(i, i) for i in bodies} == want
+    failed = spark.createDataFrame([(7, i) for i in range(n)], "key long, id long")
+    assert hamming._dealt_failed(failed, failed).count() <= n * -(-((n / whole) ** 0.5) // 1)
+
+
 def test_thresholds_cover_the_radius():
     for parts in (2, 3, 4):
         cost, ts = simhash.allocate([[0, 5, 50, 500]] * parts, 2 - parts + 1)
