@@ -12,7 +12,7 @@ DEG = "deg AS (SELECT src AS id, count(DISTINCT dst)::BIGINT AS degree FROM edge
 
 
 def _edges(spark, sf):
-    return links.edges(b.sketches(spark, sf))
+    return graph.stored(links.edges(graph.stored(b.sketches(spark, sf))))
 
 
 @query(f"WITH {b.EDGES} SELECT src, dst FROM edge WHERE src < dst")

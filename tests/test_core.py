@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,66 @@ def test_service(spark):
     assert engine.page(found, 1, 2).count() == min(2, found.count() - 1)
     assert '"done":true' in engine.response(q, found).first().body
     assert engine.search_local(spark.createDataFrame([(999,)], "id long")).collect()[0].id == 999
+
+
+def _pushed(adj, seeds, alpha=0.5, eps=1e-5, steps=1000):
+    """One vertex and one neighbour at a time, in single precision."""
+    f, p, r, pending = np.float32, {}, {}, set()
+
+    def wake(v):
+        if r[v] / f(len(adj[v])) >= f(eps):
+            pending.add(v)
+
+    for v in seeds:
+        p[v], r[v] = f(0), f(1) / f(len(seeds))
+        wake(v)
+    for _ in range(steps):
+        if not pending:
+            break
+        u = min(pending)
+        p[u] += f(alpha) * r[u]
+        r[u] *= f((1 - alpha) / 2)
+        share = r[u] / f(len(adj[u]))
+        if share < f(eps):
+            pending.discard(u)
+        for v in adj[u]:
+            p.setdefault(v, f(0))
+            r[v] = r.get(v, f(0)) + share
+            wake(v)
+    return {v: float(x) for v, x in p.items()}
+
+
+def test_ranks_and_clusters_equal_single_pushes(spark):
+    rng = random.Random(4)
+    links_ = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(420)} | set(itertools.combinations(range(300, 340), 2))
+    adj = {}
+    for a, b in links_:
+        adj.setdefault(a, []).append(b)
+        adj.setdefault(b, []).append(a)
+    for seeds in ([min(adj)], [310], sorted(adj)[5:9]):
+        assert graph.push_rank(adj, seeds) == _pushed({v: sorted(n) for v, n in adj.items()}, seeds)
+    live, want = {v: set(n) for v, n in adj.items()}, []
+    for seed in sorted(adj):
+        if live.get(seed):
+            p = _pushed({v: sorted(n) for v, n in live.items()}, [seed])
+            want.append(sorted(p) if len(p) < 16 else sorted(p, key=lambda v: (-p[v] / len(live[v]), v))[:16])
+            for v in want[-1]:
+                for n in live.pop(v):
+                    live.get(n, set()).discard(v)
+    assert graph.cluster_component(adj, 16) == want
+    edge = spark.createDataFrame([(a, b) for a in adj for b in adj[a]], "src long, dst long")
+    asked = {1: [min(adj)], 2: [310], 3: [min(adj), 310, 320], 4: [311]}
+    seeds = spark.createDataFrame([(q, v) for q, vs in asked.items() for v in vs], "qid long, id long")
+    got = {}
+    for r in graph.expand(seeds, edge).collect():
+        got.setdefault(r.qid, {})[r.id] = r.p
+    assert got == {q: _pushed({v: sorted(n) for v, n in adj.items()}, sorted(vs)) for q, vs in asked.items()}
+
+
+def test_many_queries_and_clusters_of_a_dense_graph_take_seconds():
+    adj = {v: [w for w in range(1500) if w != v] for v in range(1500)}
+    began = time.time()
+    ranker = graph.Ranker(adj)
+    for v in range(20):
+        ranker.rank([v], 0.5, 1e-5, 1000)
+    assert time.time() - began < 6
