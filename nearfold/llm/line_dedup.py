@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Workspace, arrow_map, positional, row_key, signed, table, utf8
 from .hamming import block_masks, forest_links, settle
+from .marks import marked, marks, shared_keys
 
 #: Most bits that lines of a link differ in: 997 of 1000 pairs of edit similarity 0.8 or more do.
 RADIUS = 20
@@ -172,26 +173,21 @@ def _lines(batches):
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "id", "fp", "size", "keys"])
 
 
-def _pick(batches):
-    """text, wanted (structs of line, id) -> id, norm for the wanted lines."""
+def _pick(batches, told):
+    """text -> id, norm of the lines whose id is marked, each once a batch."""
+    digest = xxhash.xxh64_intdigest
     for b in batches:
-        wanted = b.column(1)
-        found, at, no = [], wanted.offsets.to_numpy().tolist(), wanted.values.field("line").to_pylist()
-        for text, x, y in zip(utf8(b.column(0)), at, at[1:]):
-            lines = text.split(b"\n")
-            found += [lines[j] for j in no[x:y]]
-        norms = normal_lines(b"\n".join(found)) if found else []
-        yield pa.RecordBatch.from_arrays([wanted.values.field("id").slice(at[0], at[-1] - at[0]), pa.array(norms, pa.binary()).cast(pa.string())], ["id", "norm"])
+        own = list({norm for text in utf8(b.column(0)) for norm in normal_lines(text) if norm})
+        ids = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
+        at = np.flatnonzero(marked(ids, told.value))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([own[i] for i in at.tolist()], pa.binary()).cast(pa.string())], ["id", "norm"])
 
 
-def _texts(ws: Workspace, keyed: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, norm of the given ids, from each line's first occurrence."""
-    wanted = ws.write(lines.join(ids, "id", "left_semi").groupBy("best.row").agg(F.collect_list(F.struct("best.line", "id")).alias("wanted")), "wanted")
-    # Hashing the small side spares a sort of whole texts.
-    found = arrow_map(keyed.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted"), _pick, "id long, norm string")
-    norms = ws.write(found.dropDuplicates(["id"]), "norms")
-    ws.drop(wanted)
-    return norms
+def _texts(ws: Workspace, keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, norm of the given ids, and of a few others that their map takes in."""
+    told = marks(ws, ids, ids.count(), 16)
+    # Reading the texts again spares a shuffle of them: just the lines asked for are dealt out.
+    return ws.write(arrow_map(keyed.select("text"), partial(_pick, told=told), "id long, norm string").dropDuplicates(["id"]), "norms")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -303,17 +299,21 @@ def keepers(keyed: DataFrame) -> DataFrame:
     # Lines of one hash but different fingerprints are different lines.
     lines = ws.write(found.groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
     nodes = lines.select("id", "fp", "size", F.concat("keys", simhash_blocks()).alias("keys"))
+    # Most blocks are of one line: only those of two are dealt out.
+    nodes = shared_keys(ws, nodes, (BLOCKS + SURE + 1) * lines.count())
+    firsts = ws.write(lines.select("id", "best"), "firsts")
+    ws.drop(lines)
     links = ws.write(forest_links(ws, nodes, None, RADIUS, LENGTHS), "links")
-    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    norms = _texts(ws, keyed, lines, ids)
+    ids = ws.write(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    norms = _texts(ws, keyed, ids)
     # Lines of a group that are near any other have a link of its forest, so all texts to be compared are at hand.
     roots = settle(ws, links, nodes, RADIUS, LENGTHS, norms.toDF("id", "body"), all_similar)
-    ws.drop(norms, links)
-    grouped = lines.select("id", "best").join(roots, lines.id == roots.node, "left").select("best", "root")
+    ws.drop(norms, links, nodes, ids)
+    grouped = firsts.join(roots, firsts.id == roots.node, "left").select("best", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
     kept = ws.write(alone.unionByName(tops).groupBy("best.row").agg(F.collect_list("best.line").alias("keep")), "kept")
-    ws.drop(lines, roots)
+    ws.drop(firsts, roots)
     return kept
 
 

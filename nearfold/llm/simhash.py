@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, arrow_map, positional, row_key, signed, utf8
 from .components import components
 from .hamming import forest_links, labelled_links, settle
+from .marks import shared_keys
 
 SEED = 42
 #: Cost of a row dealt to a group against that of a pair compared in memory.
@@ -252,8 +253,13 @@ def _missed(ws: Workspace, docs: DataFrame, fps: DataFrame, links: DataFrame, wo
     labelled = first.join(labels, F.col("fp") == F.col("node"), "left").select("row", "fp", F.coalesce("root", "fp").alias("label"))
     nodes = found.dropDuplicates(["row"]).join(labelled, "row").select("id", "fp", "size", "label", "keys")
     keyed = ws.write(nodes, "keyed")
-    pairs = ws.write(labelled_links(ws, keyed, None, APART, similarity), "shared")
-    ws.drop(found, keyed)
+    ws.drop(found)
+    n = keyed.agg(F.sum((1 - similarity) * F.col("size") + 1)).first()[0]
+    # Most shingles are of one text: only those of two are dealt out.
+    some = shared_keys(ws, keyed, int(n or 0))
+    ws.drop(keyed)
+    pairs = ws.write(labelled_links(ws, some, None, APART, similarity), "shared")
+    ws.drop(some)
     ends = first.select(F.col("id").alias("fp"), F.struct("row").alias("best"))
     alike = _checked(ws, docs, ends, pairs, words, similarity).where("ok")
     end = lambda name, to: first.select(F.col("id").alias(name), F.col("fp").alias(to))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearfold.llm import common, components, decontaminate, hamming, html_extract, license_scan, line_dedup, quality, sentencepiece_fst, sharding, simhash, token_binary, toxicity
+from nearfold.llm import common, components, decontaminate, hamming, html_extract, license_scan, line_dedup, marks, quality, sentencepiece_fst, sharding, simhash, token_binary, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, row string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -398,6 +398,37 @@ def test_edit_distance():
         assert not (line_dedup.far_apart([a], [b], 0.7)[0] and line_dedup.similar(a, b, 0.7))
 
 
+def test_marks_find_all_shared_keys(spark):
+    """Keys of two rows are never left out, whatever the map's size; most of one row are, and so are not dealt out."""
+    rng = random.Random(13)
+    rows = [(i, [rng.getrandbits(63) for _ in range(9)] + [rng.randrange(1500)] + [-5] * (i % 400 == 0)) for i in range(3000)]
+    rows.append((3000, []))
+    df = spark.createDataFrame(rows, "id long, keys array<long>")
+    seen = Counter(k for _, keys in rows for k in set(keys))
+    ws = common.Workspace(spark, "test")
+    for n in (30000, 10):
+        got = {r.id: r["keys"] for r in marks.shared_keys(ws, df, n).collect()}
+        for i, keys in rows:
+            assert {k for k in keys if seen[k] > 1} <= set(got.get(i, ())) <= set(keys)
+    got = marks.shared_keys(ws, df, 30000)
+    due = sum(seen[k] > 1 for _, keys in rows for k in keys)
+    assert got.agg({"id": "count"}).first()[0] <= 3000
+    assert sum(len(r["keys"]) for r in got.collect()) <= due + 0.1 * 30000
+    told = marks.marks(ws, df.select("id"), 3001, 16).value
+    assert marks.marked(np.arange(3001), told).all() and marks.marked(np.arange(10**6, 10**6 + 10000), told).mean() < 0.15
+    assert not marks.marked(np.arange(100), marks.marks(ws, df.select("id").limit(0), 0, 16).value).any()
+
+
+def test_line_dedup_deals_out_shared_blocks_only(spark, data, monkeypatch):
+    """Lines without any block of another line make no rows in the join, and texts are dealt out once, not twice."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    dealt = []
+    monkeypatch.setattr(line_dedup, "forest_links", lambda ws, nodes, *more: dealt.append(nodes.selectExpr("sum(size(keys))").first()[0]) or hamming.forest_links(ws, nodes, *more))
+    line_dedup.dedup_lines(docs).collect()
+    lines = {x for r in docs.collect() for x in line_dedup.normal_lines((r.text or "").encode()) if x}
+    assert 0 < dealt[0] < 4 * len(lines)
+
+
 def _near_lines(texts):
     """All pairs (a > b) of different lines of edit similarity 0.8 or more; compared one by one."""
     texts = [x.decode() for x in texts]
