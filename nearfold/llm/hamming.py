@@ -30,6 +30,8 @@ CHUNK, SAMPLE = 4096, 16
 SHORT = 12
 #: Pairs of a row that are checked at once in the second look, and members up to which a group stays whole there, where a pair costs far more.
 LOOK, WHOLE = 16, 512
+#: Pairs of different rows that are held until they are checked at once.
+HELD = 512
 
 
 def masked(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -229,29 +231,45 @@ def _first_look(batches, check):
 
 def _second_look(batches, k: int, ratio: float, check):
     """Links that pass the check and connect what isn't yet. A pair is looked at in the first of the groups that hold both,
-    a pair of one chunk just where the chunk is at home."""
+    a pair of one chunk just where the chunk is at home. The pairs of many rows are checked at once; a row of more than
+    LOOK pairs goes on when its nearest are known, with twice as many at once where none of them was linked."""
     for cols, off in runs(batches):
         ids, fps, sizes, keys, body = (cols.get(n) for n in ("id", "fp", "size", "keys", "body"))
-        a, b = [], []
+        labels = cols["label"].copy()
+        a, b, held = [], [], []
+
+        def settled():
+            open_ = [(s, x, j) for s, x, j in held if labels[x] != labels[j]]
+            held.clear()
+            for (s, x, j), ok in zip(open_, check([body[x] for _, x, _ in open_], [body[j] for _, _, j in open_]) if open_ else ()):
+                if ok and labels[x] != labels[j]:
+                    a.append(ids[x])
+                    b.append(ids[j])
+                    label = labels[s]
+                    label[label == labels[j]] = labels[x]
+
         for i in np.flatnonzero(np.diff(off) > 1):
+            s = slice(off[i], off[i + 1])
             at = np.arange(off[i], off[i + 1])
-            label, key, chunk, home = cols["label"][at], cols["group"][off[i]], cols["chunk"][at], cols["home"][at]
+            label, key, chunk, home = labels[s], cols["group"][off[i]], cols["chunk"][s], cols["home"][s]
             if (label == label[0]).all():
                 continue
-            held = [frozenset(x[x < key].tolist()) for x in keys[at]]
+            others = [frozenset(x[x < key].tolist()) for x in keys[s]]
             for x in range(len(at) - 1):
                 meet = (label[x + 1 :] != label[x]) & (home[x] | (chunk[x + 1 :] != chunk[x]))
                 y = x + 1 + np.flatnonzero(meet & _near(fps, sizes, at[x], at[x + 1 :], k, ratio))
-                y = y[[held[x].isdisjoint(held[j]) for j in y.tolist()]] if len(y) else y
+                y = y[[others[x].isdisjoint(others[j]) for j in y.tolist()]] if len(y) else y
                 y = y[np.argsort(np.bitwise_count(fps[at[y]] ^ fps[at[x]]), kind="stable")]
+                look = LOOK
                 while len(y):
-                    some, y = y[:LOOK], y[LOOK:]
-                    for j, ok in zip(some.tolist(), check([body[at[x]]] * len(some), body[at[some]].tolist())):
-                        if ok and label[j] != label[x]:
-                            a.append(ids[at[x]])
-                            b.append(ids[at[j]])
-                            label[label == label[j]] = label[x]
-                    y = y[label[y] != label[x]]
+                    some, y = y[:look], y[look:]
+                    held += [(s, int(at[x]), int(at[j])) for j in some.tolist()]
+                    if len(y) or len(held) >= HELD:
+                        found = len(a)
+                        settled()
+                        look = LOOK if len(a) > found else min(2 * look, HELD)
+                        y = y[label[y] != label[x]]
+        settled()
         yield _pairs([np.array(a, np.int64)], [np.array(b, np.int64)])
 
 

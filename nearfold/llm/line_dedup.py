@@ -283,12 +283,89 @@ def far_apart(x: list[str], y: list[str], similarity: float = SIMILARITY) -> np.
     return gone > 2 * room
 
 
-def all_similar(x: list[str], y: list[str]) -> list[bool]:
-    ok = []
+def _columns(texts: list[str], rows: int, lead: int, fill: int) -> np.ndarray:
+    """A column of code points (plus 2) for each text, after ``lead`` rows of ``fill``."""
+    sizes = np.array([len(t) for t in texts])
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) + 2
+    kind = np.uint8 if chars.max(initial=0) < 256 else np.uint32
+    out = np.full((len(texts), rows), fill, kind)
+    inside = np.arange(rows) - lead
+    out[(inside >= 0) & (inside < sizes[:, None])] = chars
+    return np.ascontiguousarray(out.T)
+
+
+def within(x: list[str], y: list[str], room: np.ndarray) -> np.ndarray:
+    """Pairs whose edit distance is at most ``room`` (whole numbers, no less than the difference of lengths).
+
+    Dynamic programming over the diagonals within the room, for all pairs at
+    once, row by row of x; a pair ends where each way on costs more than the room.
+    """
+    n, gap = np.array([len(t) for t in x]), np.array([len(b) - len(a) for a, b in zip(x, y)])
+    k, rows = int(room.max()), int(n.max())
+    far = np.int16(1 << 14)
+    a, b = _columns(x, rows, 0, 0), _columns(y, rows + 2 * k + 1, k, 1)
+    if a.dtype != b.dtype:
+        a, b = a.astype(np.uint32), b.astype(np.uint32)
+    out, at, room = np.zeros(len(x), bool), np.arange(len(x)), room.astype(np.int16)
+    diagonal = np.arange(-k, k + 1, dtype=np.int16)[:, None]
+    cost = np.where(diagonal < 0, far, diagonal) + np.zeros((1, len(x)), np.int16)
+    ends = np.bincount(n, minlength=rows + 1)
+    for i in range(rows + 1):
+        if ends[i]:
+            done = np.flatnonzero(n == i)
+            out[at[done]] = cost[gap[done] + k, done] <= room[done]
+        if i == rows:
+            break
+        if i % 16 == 15:
+            open_ = (n > i) & ((cost + np.abs(diagonal - gap.astype(np.int16))).min(axis=0) <= room)
+            if not open_.any():
+                break
+            if 4 * open_.sum() < 3 * len(open_):
+                a, b, cost = (np.ascontiguousarray(m[:, open_]) for m in (a, b, cost))
+                n, gap, room, at = n[open_], gap[open_], room[open_], at[open_]
+        new = cost + (b[i : i + 2 * k + 1] != a[i])
+        np.minimum(new[:-1], cost[1:] + np.int16(1), out=new[:-1])
+        # Least along the row, by steps that double.
+        new -= diagonal
+        step = 1
+        while step < len(new):
+            new = np.concatenate([new[:step], np.minimum(new[step:], new[:-step])])
+            step *= 2
+        new += diagonal
+        cost = np.minimum(new, far)
+    return out
+
+
+#: Most and fewest pairs that are compared side by side, and characters up to which lines are: of fewer or longer ones each pair alone is faster.
+SIDE, SIDE_LEAST, SIDE_CHARS = 256, 64, 2000
+
+
+def all_similar(x: list[str], y: list[str], similarity: float = SIMILARITY) -> list[bool]:
+    """``similar`` of each pair."""
+    size = np.array([max(len(a), len(b)) for a, b in zip(x, y)], np.int64)
+    room = (1 - similarity) * size + 1e-9
+    ok, left = np.zeros(len(x), bool), []
     for i in range(0, len(x), 1024):
-        far = far_apart(x[i : i + 1024], y[i : i + 1024]).tolist()
-        ok += [not f and similar(v, w) for f, v, w in zip(far, x[i : i + 1024], y[i : i + 1024])]
-    return ok
+        far = far_apart(x[i : i + 1024], y[i : i + 1024], similarity).tolist()
+        for j, (f, a, b) in enumerate(zip(far, x[i : i + 1024], y[i : i + 1024]), i):
+            if f or abs(len(a) - len(b)) > room[j]:
+                continue
+            if edits_by_word(a.split(" "), b.split(" "), room[j]) <= room[j]:
+                ok[j] = True
+            elif size[j] > SIDE_CHARS:
+                ok[j] = edit_distance(a, b) <= room[j]
+            else:
+                left.append(j)
+    # Lines of like size side by side.
+    left = np.array(left, np.int64)
+    left = left[np.argsort(size[left], kind="stable")]
+    for i in range(0, len(left), SIDE):
+        some = left[i : i + SIDE]
+        if len(some) < SIDE_LEAST:
+            ok[some] = [edit_distance(x[j], y[j]) <= room[j] for j in some.tolist()]
+            continue
+        ok[some] = within([x[j] for j in some.tolist()], [y[j] for j in some.tolist()], room[some].astype(np.int64))
+    return ok.tolist()
 
 
 def keepers(keyed: DataFrame) -> DataFrame:

@@ -398,6 +398,26 @@ def test_edit_distance():
         assert not (line_dedup.far_apart([a], [b], 0.7)[0] and line_dedup.similar(a, b, 0.7))
 
 
+def test_pairs_side_by_side():
+    """The check of many pairs at once says what that of each pair says, and ends early where pairs are unlike."""
+    rng = random.Random(12)
+    x, y = [], []
+    for _ in range(900):
+        letters = rng.choice(["abc", "ab ", "a\u00e9\u2713"])
+        a = [rng.choice(letters) for _ in range(rng.randrange(70))]
+        b = list(a)
+        for _ in range(rng.randrange(20)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        x.append("".join(a))
+        y.append("".join(b))
+    for s in (0.8, 0.5):
+        assert line_dedup.all_similar(x, y, s) == [line_dedup.similar(a, b, s) for a, b in zip(x, y)]
+    assert line_dedup.all_similar([], []) == []
+    room = np.array([max(abs(len(a) - len(b)), 5) for a, b in zip(x, y)])
+    assert line_dedup.within(x, y, room).tolist() == [line_dedup.edit_distance(a, b) <= r for a, b, r in zip(x, y, room)]
+
+
 def test_marks_find_all_shared_keys(spark):
     """Keys of two rows are never left out, whatever the map's size; most of one row are, and so are not dealt out."""
     rng = random.Random(13)
