@@ -2,8 +2,8 @@
 
 Lines are normalised (ASCII lower case, words alone) and exact repeats fall
 together first.  Distinct lines get a 64-bit SimHash of their distinct words, weighted by size, and
-meet where they share a pigeonhole block: one of the SimHash's (always within
-SURE bits) or one of the line's own, a run of two words (one in the shortest
+meet where they share a pigeonhole block: two of the SimHash's SURE + 2 parts (always
+within SURE bits) or one of the line's own, a run of two words (one in the shortest
 lines) at the same place, counted from the start in the first half and from the
 end in the second, so that a word put in or left out shifts nothing beyond it.
 A line takes part with its BLOCKS blocks of most bytes, which are the rarest,
@@ -49,15 +49,15 @@ RADIUS = 20
 #: Bits within which lines share a SimHash block, whatever their words.
 SURE = 2
 #: Blocks of words that a line is found by.
-BLOCKS = 9
+BLOCKS = 11
 #: Bytes of a block to take part, where a line has this many longer ones.
 LONG, ALWAYS = 10, 3
 #: A word weighs 1 in the SimHash, and 1 more from each of these sizes in bytes.
 WEIGHTS = np.array([0, 4, 7, 10])
 WHITE = SPACES.decode()
 SIMILARITY = 0.8
-#: Lines of the similarity have a ratio of lengths of at least that in characters; in bytes, which take part in the comparison, a little less is let pass.
-LENGTHS = 0.7
+#: Lines of the similarity have a ratio of lengths in characters of at least that, but for rounding.
+LENGTHS = SIMILARITY - 1e-9
 
 
 def normal_lines(text: bytes) -> list[bytes]:
@@ -67,6 +67,25 @@ def normal_lines(text: bytes) -> list[bytes]:
     return [f or b" ".join(x.split()) for f, x in zip(folded, raw)]
 
 
+def batch_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """``normal_lines`` of all texts in a row, and the number of lines of each text."""
+    if not texts:
+        return [], np.zeros(0, np.int64)
+    whole = b"\n".join(texts)
+    n = np.array([x.count(b"\n") + 1 for x in texts])
+    chars = np.frombuffer(whole.lower().translate(_FOLD) + b"\n", np.uint8)
+    # Only the first space of a run stays, and none at the start or end of a line.
+    gap, white = chars == 32, chars <= 32
+    chars = chars[~(gap & np.concatenate([[True], white[:-1]]))]
+    gap, white = chars == 32, chars == 10
+    chars = chars[~(gap & np.concatenate([white[1:], [True]]))]
+    out = chars.tobytes().split(b"\n")[:-1]
+    if b"" in out:
+        raw = whole.split(b"\n")
+        out = [f or b" ".join(x.split()) for f, x in zip(out, raw)]
+    return out, n
+
+
 _FOLD = bytes(32 if b < 128 and b != 10 and not chr(b).isalnum() else b for b in range(256))
 
 
@@ -75,32 +94,38 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
 
     A word counts once a line, by its size: frequent words are short, and would make unlike lines near.
     """
-    out, keys, step = [np.zeros(0, np.int64)], [], 8192
+    if not lines:
+        return np.zeros(0, np.int64), pa.array([], pa.list_(pa.int64()))
+    words = pc.split_pattern(pa.array(lines, pa.binary()), b" ")
+    coded, ends = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+    _, cuts, data = coded.dictionary.buffers()
+    cuts, data = np.frombuffer(cuts, np.int32, len(coded.dictionary) + 1, 4 * coded.dictionary.offset), data.to_pybytes()
+    known = [data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    hashes, sizes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known)), np.diff(cuts)
+    weights = np.searchsorted(WEIGHTS, sizes, side="right")
+    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)] * weights.astype(np.uint64)[:, None]
+    every = coded.indices.to_numpy(zero_copy_only=False)
+    out, keys, step = [], [], 4096
     for i in range(0, len(lines), step):
-        words = pc.split_pattern(pa.array(lines[i : i + step], pa.binary()), b" ")
-        coded = words.flatten().dictionary_encode()
-        _, cuts, data = coded.dictionary.buffers()
-        cuts, data = np.frombuffer(cuts, np.int32, len(coded.dictionary) + 1, 4 * coded.dictionary.offset), data.to_pybytes()
-        known = [data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
-        n = np.diff(words.offsets.to_numpy())
-        line = np.repeat(np.arange(len(words)), n)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        keys.append(word_blocks(hashes[codes], np.diff(cuts)[codes], n))
-        own = np.sort(line * len(known) + codes)
+        n = np.diff(ends[i : i + step + 1])
+        codes = every[ends[i] : ends[min(i + step, len(lines))]]
+        keys.append(word_blocks(hashes[codes], sizes[codes], n))
+        own = np.sort(np.repeat(np.arange(len(n)), n) * len(known) + codes)
         own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         line = own // len(known)
         own -= line * len(known)
-        h, n = hashes[own].view(np.uint8).reshape(-1, 8), np.bincount(line, minlength=len(words))
-        weight = np.searchsorted(WEIGHTS, np.diff(cuts), side="right")[own]
+        n = np.bincount(line, minlength=len(n))
         first = np.cumsum(n) - n
-        total = np.add.reduceat(weight, first)
-        # Eight bits' sums fit the bytes of one number, in lines that weigh less than 256.
-        ones = np.add.reduceat(_LANES[h] * weight.astype(np.uint64)[:, None], first, axis=0).view(np.uint8)
-        bits = ones > (total >> 1)[:, None]
-        for j in np.flatnonzero(total > 255):
-            at = slice(first[j], first[j] + n[j])
-            bits[j] = 2 * (weight[at] @ np.unpackbits(h[at], axis=1, bitorder="little")) > total[j]
+        half = np.add.reduceat(weights[own], first)[:, None] >> 1
+        # Eight bits' sums fit the bytes of one number, in parts of a line that weigh less than 256.
+        parts = -(-n // PART)
+        start = np.cumsum(parts) - parts
+        at = np.repeat(first - PART * start, parts) + PART * np.arange(parts.sum())
+        ones = np.add.reduceat(np.take(lanes, own, axis=0), at, axis=0).view(np.uint8)
+        bits = ones[start] > half
+        if len(long := np.flatnonzero(parts > 1)):
+            heads = np.cumsum(parts[long]) - parts[long]
+            bits[long] = np.add.reduceat(ones[np.repeat(parts > 1, parts)], heads, axis=0, dtype=np.int64) > half[long]
         out.append(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel())
     return np.concatenate(out), pa.chunked_array(keys, pa.list_(pa.int64())).combine_chunks()
 
@@ -109,6 +134,8 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     return fingerprints(lines)[0]
 
 
+#: Words that are summed at once: they weigh less than 256.
+PART = 255 // len(WEIGHTS)
 #: Each byte's bits spread to the eight bytes of a number.
 _LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], dtype="<u8")
 
@@ -135,11 +162,11 @@ def word_blocks(hashes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.Arra
         for j in range(size):
             block = _mix(block + hashes[start + j])
             length += sizes[start + j]
-        found.append((line, length, block, place))
-    line, length, block, place = (np.concatenate(x) for x in zip(*found))
+        found.append((line, length, block, place, at))
+    line, length, block, place, nth = (np.concatenate(x) for x in zip(*found))
     # The longest first, by hash among equals; of a block that occurs twice in a line, by place.
-    rank = line.astype(np.uint64) << np.uint64(48) | np.uint64(255) - np.minimum(length, 255).astype(np.uint64) << np.uint64(40) | block >> np.uint64(24)
-    order = np.argsort(rank, kind="stable")
+    rank = line.astype(np.uint64) << np.uint64(48) | np.uint64(255) - np.minimum(length, 255).astype(np.uint64) << np.uint64(40)
+    order = np.argsort(rank | block >> np.uint64(32) << np.uint64(8) | np.minimum(nth, 255).astype(np.uint64))
     line, block, place, length = line[order], block[order], place[order], length[order]
     every = np.bincount(line, minlength=len(n))
     at = np.arange(len(line)) - np.repeat(np.cumsum(every) - every, every)
@@ -149,27 +176,50 @@ def word_blocks(hashes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
 
 
+def pair_masks(k: int) -> list[int]:
+    """Masks of two of k + 2 blocks: within k differing bits at least two blocks are equal."""
+    blocks = block_masks(k + 1)
+    return [x | y for i, x in enumerate(blocks) for y in blocks[:i]]
+
+
+MASKS = pair_masks(SURE)
+
+
 def simhash_blocks():
     """The fingerprint's block hashes, as a column."""
-    return F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(x)))) for i, x in enumerate(block_masks(SURE))])
+    return F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(x)))) for i, x in enumerate(MASKS)])
+
+
+def _ranks(doc_id: pa.Array, row: pa.Array) -> np.ndarray:
+    """The place of each text in the order of occurrences, null doc_ids last."""
+    table = pa.table([doc_id.is_null(), doc_id, *(row.flatten() if pa.types.is_struct(row.type) else [row])], names=[str(i) for i in range(2 + max(1, row.type.num_fields))])
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names]).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
 
 
 def _lines(batches):
-    """doc_id, row, text -> doc_id, row, line number, hash, SimHash, length and block keys of each line with a word."""
+    """doc_id, row, text -> doc_id, row, line number, hash, SimHash, length in characters and block keys of each distinct line with a word, where it is first."""
     digest = xxhash.xxh64_intdigest
     for b in batches:
-        at, no, norms, known = [], [], [], {}
-        for i, text in enumerate(utf8(b.column(2))):
-            for j, norm in enumerate(normal_lines(text)):
-                if norm:
-                    at.append(i)
-                    no.append(j)
-                    norms.append(known.setdefault(norm, len(known)))
+        norms, n = batch_lines(utf8(b.column(2)))
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(x, len(known)) for x in norms), np.int64, len(norms))
         own = list(known)
-        at, which = pa.array(at, pa.int64()), pa.array(norms, pa.int32())
+        # Each line's occurrence of least rank; lines without a word go.
+        ranks = _ranks(b.column(0), b.column(1))
+        place = np.repeat(ranks, n) << 32 | np.arange(len(norms)) - np.repeat(np.cumsum(n) - n, n)
+        best = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(best, which, place)
+        if (blank := known.get(b"")) is not None:
+            best = np.delete(best, blank)
+            del own[blank]
+        at = pa.array(np.argsort(ranks)[best >> 32])
         hs = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
         fps, keys = fingerprints(own)
-        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), *(c.take(which) for c in (pa.array(hs), pa.array(fps), pa.array(map(len, own), pa.int32()), keys))]
+        size = pa.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in own], pa.int32())
+        cols = [b.column(0).take(at), b.column(1).take(at), pa.array((best & 0xFFFFFFFF).astype(np.int32)), pa.array(hs), pa.array(fps), size, keys]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "id", "fp", "size", "keys"])
 
 
@@ -177,7 +227,7 @@ def _pick(batches, told):
     """text -> id, norm of the lines whose id is marked, each once a batch."""
     digest = xxhash.xxh64_intdigest
     for b in batches:
-        own = list({norm for text in utf8(b.column(0)) for norm in normal_lines(text) if norm})
+        own = list({*batch_lines(utf8(b.column(0)))[0]} - {b""})
         ids = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
         at = np.flatnonzero(marked(ids, told.value))
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([own[i] for i in at.tolist()], pa.binary()).cast(pa.string())], ["id", "norm"])
@@ -283,61 +333,59 @@ def far_apart(x: list[str], y: list[str], similarity: float = SIMILARITY) -> np.
     return gone > 2 * room
 
 
-def _columns(texts: list[str], rows: int, lead: int, fill: int) -> np.ndarray:
-    """A column of code points (plus 2) for each text, after ``lead`` rows of ``fill``."""
-    sizes = np.array([len(t) for t in texts])
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) + 2
-    kind = np.uint8 if chars.max(initial=0) < 256 else np.uint32
-    out = np.full((len(texts), rows), fill, kind)
-    inside = np.arange(rows) - lead
-    out[(inside >= 0) & (inside < sizes[:, None])] = chars
-    return np.ascontiguousarray(out.T)
+def _codes(texts: list[str]) -> tuple[np.ndarray, int]:
+    """The characters of all texts in a row, numbered from 1 as they occur in them, and the number of different ones."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if chars.max(initial=0) < 1024:
+        number = np.cumsum(np.bincount(chars, minlength=1) > 0)
+        return number[chars], int(number[-1])
+    known, codes = np.unique(chars, return_inverse=True)
+    return codes + 1, len(known)
+
+
+def distances(x: list[str], y: list[str]) -> np.ndarray:
+    """Levenshtein distance of each pair, by the bit-parallel columns of ``edit_distance`` for all pairs at once: each pair has
+    its bits of one long number.  Pairs get equal ends put on, so that all end at the same column."""
+    a, b = [list(t) for t in zip(*((p, q) if len(p) >= len(q) else (q, p) for p, q in zip(x, y)))]
+    n, m, pairs = np.array([len(t) for t in a]), np.array([len(t) for t in b]), np.arange(len(a))
+    rows = int(n.max())
+    deep = m + rows - n
+    width = (int(deep.max()) + 8) // 8 * 8  # one bit more at least, for the carry
+    codes, kinds = _codes(a + b)
+    if 1 < len(a) and len(a) * max((kinds + 1) * width, rows * width // 8) > LANES_MOST:
+        half = len(a) // 2
+        return np.concatenate([distances(a[:half], b[:half]), distances(a[half:], b[half:])])
+    col = np.zeros((rows, len(a)), np.intp)  # 0 is the end put on
+    owner, start = np.repeat(pairs, n), np.cumsum(n) - n
+    col[np.arange(len(owner)) - start[owner], owner] = codes[: len(owner)]
+    where = np.zeros((len(a), kinds + 1, width), bool)
+    where[:, 0] = (np.arange(width) >= m[:, None]) & (np.arange(width) < deep[:, None])
+    own, start = np.repeat(pairs, m), np.cumsum(m) - m
+    where[own, codes[len(owner) :], np.arange(len(own)) - start[own]] = True
+    where = np.packbits(where, axis=2, bitorder="little").reshape(-1, width // 8)
+    number = lambda bits: int.from_bytes(np.packbits(bits, axis=1, bitorder="little").tobytes(), "little")
+    full = number(np.arange(width) < deep[:, None])
+    ones = number((np.arange(width) == 0) & (deep > 0)[:, None])
+    up, down = full, 0
+    size = len(a) * width // 8
+    every = np.take(where, pairs * (kinds + 1) + col, axis=0).tobytes()
+    for i in range(0, rows * size, size):
+        eq = int.from_bytes(every[i : i + size], "little")
+        across = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | (full ^ (full & (across | up))), up & across
+        rise, fall, along = (rise << 1 | ones) & full, fall << 1 & full, eq | down
+        up, down = fall | (full ^ (full & (along | rise))), rise & along
+    count = lambda v: np.bitwise_count(np.frombuffer(v.to_bytes(size, "little"), np.uint8)).reshape(len(a), -1).sum(axis=1, dtype=np.int64)
+    return rows + count(up) - count(down)
 
 
 def within(x: list[str], y: list[str], room: np.ndarray) -> np.ndarray:
-    """Pairs whose edit distance is at most ``room`` (whole numbers, no less than the difference of lengths).
-
-    Dynamic programming over the diagonals within the room, for all pairs at
-    once, row by row of x; a pair ends where each way on costs more than the room.
-    """
-    n, gap = np.array([len(t) for t in x]), np.array([len(b) - len(a) for a, b in zip(x, y)])
-    k, rows = int(room.max()), int(n.max())
-    far = np.int16(1 << 14)
-    a, b = _columns(x, rows, 0, 0), _columns(y, rows + 2 * k + 1, k, 1)
-    if a.dtype != b.dtype:
-        a, b = a.astype(np.uint32), b.astype(np.uint32)
-    out, at, room = np.zeros(len(x), bool), np.arange(len(x)), room.astype(np.int16)
-    diagonal = np.arange(-k, k + 1, dtype=np.int16)[:, None]
-    cost = np.where(diagonal < 0, far, diagonal) + np.zeros((1, len(x)), np.int16)
-    ends = np.bincount(n, minlength=rows + 1)
-    for i in range(rows + 1):
-        if ends[i]:
-            done = np.flatnonzero(n == i)
-            out[at[done]] = cost[gap[done] + k, done] <= room[done]
-        if i == rows:
-            break
-        if i % 16 == 15:
-            open_ = (n > i) & ((cost + np.abs(diagonal - gap.astype(np.int16))).min(axis=0) <= room)
-            if not open_.any():
-                break
-            if 4 * open_.sum() < 3 * len(open_):
-                a, b, cost = (np.ascontiguousarray(m[:, open_]) for m in (a, b, cost))
-                n, gap, room, at = n[open_], gap[open_], room[open_], at[open_]
-        new = cost + (b[i : i + 2 * k + 1] != a[i])
-        np.minimum(new[:-1], cost[1:] + np.int16(1), out=new[:-1])
-        # Least along the row, by steps that double.
-        new -= diagonal
-        step = 1
-        while step < len(new):
-            new = np.concatenate([new[:step], np.minimum(new[step:], new[:-step])])
-            step *= 2
-        new += diagonal
-        cost = np.minimum(new, far)
-    return out
+    """Pairs whose edit distance is at most ``room``."""
+    return distances(x, y) <= room
 
 
-#: Most and fewest pairs that are compared side by side, and characters up to which lines are: of fewer or longer ones each pair alone is faster.
-SIDE, SIDE_LEAST, SIDE_CHARS = 256, 64, 2000
+#: Most and fewest pairs that are compared side by side, and characters up to which lines are: of fewer or longer ones each pair alone is faster. Most bytes of their tables.
+SIDE, SIDE_LEAST, SIDE_CHARS, LANES_MOST = 64, 4, 2000, 16 << 20
 
 
 def all_similar(x: list[str], y: list[str], similarity: float = SIMILARITY) -> list[bool]:
@@ -374,23 +422,22 @@ def keepers(keyed: DataFrame) -> DataFrame:
     found = arrow_map(keyed, _lines, f"doc_id long, row {keyed.schema['row'].dataType.simpleString()}, line int, id long, fp long, size int, keys array<long>")
     first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row", "line")
     # Lines of one hash but different fingerprints are different lines.
-    lines = ws.write(found.groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
+    # Repeats within a batch are gone: dealt out first, rows are sorted once.
+    lines = ws.write(found.repartition("id").groupBy("id", "fp").agg(F.min(first).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
     nodes = lines.select("id", "fp", "size", F.concat("keys", simhash_blocks()).alias("keys"))
     # Most blocks are of one line: only those of two are dealt out.
-    nodes = shared_keys(ws, nodes, (BLOCKS + SURE + 1) * lines.count())
-    firsts = ws.write(lines.select("id", "best"), "firsts")
-    ws.drop(lines)
+    nodes = shared_keys(ws, nodes, (BLOCKS + len(MASKS)) * lines.count())
     links = ws.write(forest_links(ws, nodes, None, RADIUS, LENGTHS), "links")
     ids = ws.write(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
     norms = _texts(ws, keyed, ids)
     # Lines of a group that are near any other have a link of its forest, so all texts to be compared are at hand.
     roots = settle(ws, links, nodes, RADIUS, LENGTHS, norms.toDF("id", "body"), all_similar)
     ws.drop(norms, links, nodes, ids)
-    grouped = firsts.join(roots, firsts.id == roots.node, "left").select("best", "root")
+    grouped = lines.join(roots, lines.id == roots.node, "left").select("best", "root")
     alone = grouped.where("root is null").select("best")
     tops = grouped.where("root is not null").groupBy("root").agg(F.min("best").alias("best")).select("best")
     kept = ws.write(alone.unionByName(tops).groupBy("best.row").agg(F.collect_list("best.line").alias("keep")), "kept")
-    ws.drop(firsts, roots)
+    ws.drop(lines, roots)
     return kept
 
 

@@ -418,6 +418,35 @@ def test_pairs_side_by_side():
     assert line_dedup.within(x, y, room).tolist() == [line_dedup.edit_distance(a, b) <= r for a, b, r in zip(x, y, room)]
 
 
+def test_distances_of_many_pairs():
+    """Pairs that share one long number have the distances that each has alone, empty and wide texts too."""
+    rng = random.Random(13)
+    for letters in ("ab", "abc d", "a\u00e9\u2713\U0001f600x"):
+        x, y = (["".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([2, 20, 90])))) for _ in range(70)] for _ in range(2))
+        assert line_dedup.distances(x, y).tolist() == [line_dedup.edit_distance(a, b) for a, b in zip(x, y)]
+
+
+def test_lines_of_many_texts():
+    rng = random.Random(14)
+    parts = [b" ", b"\n", b"a", b"B", b".", b"-", b"\t", b"\r", b"\x0b", b"\x85", "\u00e9".encode(), b"7", b"\x00"]
+    for _ in range(3000):
+        texts = [b"".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(4))]
+        got, n = line_dedup.batch_lines(texts)
+        want = [line_dedup.normal_lines(t) for t in texts]
+        assert n.tolist() == [len(x) for x in want] and got == [x for own in want for x in own]
+
+
+def test_line_simhash_blocks_part_unlike_lines(spark):
+    """Fingerprints within the sure bits share a block; of 20,000 unlike ones hardly any two do."""
+    rng = random.Random(15)
+    fps = [rng.getrandbits(64) for _ in range(20000)]
+    near = [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in fps[:500]]
+    table = lambda xs: spark.createDataFrame([(i, common.signed(x)) for i, x in enumerate(xs)], "id long, fp long").select("id", F.explode(line_dedup.simhash_blocks()).alias("key"))
+    groups = table(fps).groupBy("key").count()
+    assert groups.selectExpr("sum(count * (count - 1) / 2)").first()[0] < 20
+    assert table(fps[:500]).join(table(near), ["id", "key"]).select("id").distinct().count() == 500
+
+
 def test_marks_find_all_shared_keys(spark):
     """Keys of two rows are never left out, whatever the map's size; most of one row are, and so are not dealt out."""
     rng = random.Random(13)
