@@ -3,14 +3,18 @@ work folder, code shipping and Arrow mapping."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from functools import partial
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,13 +111,63 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(name)
 
 
+#: Bytes that a worker may hold beyond those it began with before it gives back what is free.
+SPARE = 48 << 20
+_began: list[int] = []
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What a module keeps in a worker from task to task; emptied when another module's function runs there."""
+    return _kept.setdefault(module, {})
+
+
+def resident() -> int:
+    """Bytes of memory that this process has for itself; 0 where that can't be told."""
+    try:
+        pages = Path("/proc/self/statm").read_text().split()
+    except OSError:
+        return 0
+    return (int(pages[1]) - int(pages[2])) * os.sysconf("SC_PAGESIZE")
+
+
+def give_back() -> None:
+    """What the allocators hold free goes back to the system; else a process stays as large as it ever was."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _lean(batches, fn):
+    """``fn``'s batches. Workers outlive their tasks and wait beside those of other stages, so each gives back what it no longer needs."""
+    home = getattr(fn, "func", fn).__module__
+    for module, held in _kept.items():
+        if module != home:
+            held.clear()
+    if not _began:
+        _began.append(resident())
+    try:
+        yield from fn(batches)
+    finally:
+        if resident() > _began[0] + SPARE:
+            give_back()
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int):
+    """The batch in slices of at most ``most`` bytes of a string column, and one row more."""
+    n = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // most)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
+        yield batch.slice(i, j - i)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches; ``fn`` takes and gives an iterator of record batches."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(partial(_lean, fn=fn), schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, arrow_map, positional, row_key, signed, table, utf8
+from .common import SPACES, Workspace, arrow_map, pieces, positional, row_key, signed, table, utf8
 from .hamming import block_masks, forest_links, settle
 from .marks import marked, marks, shared_keys
 
@@ -54,6 +54,8 @@ BLOCKS = 11
 LONG, ALWAYS = 10, 3
 #: A word weighs 1 in the SimHash, and 1 more from each of these sizes in bytes.
 WEIGHTS = np.array([0, 4, 7, 10])
+#: Bytes of text whose lines are worked on at once: the tables made of them take about ten times as much.
+AT_ONCE = 4 << 20
 WHITE = SPACES.decode()
 SIMILARITY = 0.8
 #: Lines of the similarity have a ratio of lengths in characters of at least that, but for rounding.
@@ -202,7 +204,7 @@ def _ranks(doc_id: pa.Array, row: pa.Array) -> np.ndarray:
 def _lines(batches):
     """doc_id, row, text -> doc_id, row, line number, hash, SimHash, length in characters and block keys of each distinct line with a word, where it is first."""
     digest = xxhash.xxh64_intdigest
-    for b in batches:
+    for b in (p for whole in batches for p in pieces(whole, 2, AT_ONCE)):
         norms, n = batch_lines(utf8(b.column(2)))
         known: dict[bytes, int] = {}
         which = np.fromiter((known.setdefault(x, len(known)) for x in norms), np.int64, len(norms))
@@ -226,7 +228,7 @@ def _lines(batches):
 def _pick(batches, told):
     """text -> id, norm of the lines whose id is marked, each once a batch."""
     digest = xxhash.xxh64_intdigest
-    for b in batches:
+    for b in (p for whole in batches for p in pieces(whole, 0, AT_ONCE)):
         own = list({*batch_lines(utf8(b.column(0)))[0]} - {b""})
         ids = np.fromiter((digest(x, 7) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
         at = np.flatnonzero(marked(ids, told.value))

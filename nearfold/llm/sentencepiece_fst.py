@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, strings, table
+from .common import arrow_map, kept, strings, table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -306,7 +306,7 @@ def _utf8(b: bytes) -> str:
 
 #: A line break or space marks and what follows them up to the next mark or break.
 _CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-_machines: dict[str, Transducer] = {}
+_machines: dict[str, Transducer] = kept(__name__)
 
 
 def machine(path: str) -> Transducer:
