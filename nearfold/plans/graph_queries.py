@@ -15,6 +15,12 @@ def _edges(spark, sf):
     return graph.stored(links.edges(graph.stored(b.sketches(spark, sf))))
 
 
+def _classes(spark, sf):
+    """edge and copies, as in ``graph.components``: the graph of ``_edges``, without the links of equal sketches one by one."""
+    members, near = links.classes(graph.stored(b.sketches(spark, sf)))
+    return {"edge": links.symmetrize(graph.stored(near)), "copies": members}
+
+
 @query(f"WITH {b.EDGES} SELECT src, dst FROM edge WHERE src < dst")
 def join_block_hash_self(spark, sf):
     return links.block_pairs(b.sketches(spark, sf))
@@ -121,7 +127,7 @@ def gr_expand_guard(spark, sf):
 
 @query()
 def gr_cluster(spark, sf):
-    return graph.clusters(_edges(spark, sf))
+    return graph.clusters(**_classes(spark, sf))
 
 
 @query()

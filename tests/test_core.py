@@ -264,6 +264,59 @@ def test_ranks_and_clusters_equal_single_pushes(spark):
     assert got == {q: _pushed({v: sorted(n) for v, n in adj.items()}, sorted(vs)) for q, vs in asked.items()}
 
 
+def test_graph_of_classes_equals_graph_of_links(spark):
+    """Clusters, ranks and sweeps of copies held by class are those of all their links one by one."""
+    rng = random.Random(11)
+    held, at = {}, list(range(400))
+    rng.shuffle(at)
+    while at:
+        ids = [at.pop() for _ in range(min(len(at), rng.choice([1, 1, 1, 2, 3, 20])))]
+        held[min(ids)] = ids
+    near = {tuple(sorted(rng.sample(sorted(held), 2))) for _ in range(len(held) // 2)}
+    pairs = [p for ids in held.values() for p in itertools.permutations(ids, 2)]
+    pairs += [p for a, b in near for v in held[a] for w in held[b] for p in ((v, w), (w, v))]
+    edge = spark.createDataFrame(pairs, "src long, dst long")
+    by_class = {"edge": spark.createDataFrame([p for a, b in near for p in ((a, b), (b, a))], "src long, dst long"), "copies": spark.createDataFrame([(c, v) for c, ids in held.items() for v in ids], "class long, id long")}
+    seeds = spark.createDataFrame([(v, v) for v in range(0, 500, 7)] + [(1000, v) for v in (3, 90, 91, 401, 450)] + [(1001, v) for v in range(1001)], "qid long, id long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ranks = graph.expand(seeds, edge)
+    assert rows(graph.expand(seeds, **by_class)) == rows(ranks) != []
+    assert rows(graph.clusters(size=16, **by_class)) == rows(graph.clusters(edge, 16))
+    swept = {(r.qid, r.id, r.pos + 2 * (r.qid == 1000)) for r in graph.sweep(ranks, edge).where("kept").collect()}
+    linked = {v for p in pairs for v in p}
+    lone = [(q, v) for q, v in rows(seeds) if v not in linked]
+    want = swept | {(q, v, 1 + sum(x < (q, v) and x[0] == q for x in lone)) for q, v in lone}
+    assert rows(graph.nibble(seeds, **by_class)) == rows(graph.nibble(seeds, edge)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["gr_cluster"])
+def test_copies_are_not_linked_one_by_one(spark, tmp_path, name):
+    """2000 copies of a text have four million links; no table of them is written, and no row is lost."""
+    from pathlib import Path
+
+    from nearfold.queries import QUERIES
+
+    texts = ["one text that many pages share word by word"] * 2000 + [f"{i} {i * i} {i * 7} words {i % 13} of its own {i ** 3}" for i in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    graph.shared_checkpoints(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before, got = size(), QUERIES[name](spark, str(tmp_path))
+    if name == "gr_cluster":
+        groups = {}
+        for r in got.collect():
+            groups.setdefault(r.cluster_id, []).append(r.id)
+        assert sorted(v for g in groups.values() for v in g) == list(range(2000))
+        assert all(c == min(g) and len(g) <= 256 for c, g in groups.items()) and len(groups) == 8
+    elif name == "gr_pack_ids":
+        ids = [tuple(r) for r in got.collect()]
+        assert sorted(a for a, _ in ids) == sorted(b for _, b in ids) == list(range(2100))
+    else:
+        counts = {r.qid: r["count"] for r in got.groupBy("qid").count().collect()}
+        assert counts == {q: 2000 if q < 2000 else 1 for q in range(0, 2000 if name == "gr_rank" else 2100, 10)}
+    assert size() - before < 500_000
+
+
 def test_many_queries_and_clusters_of_a_dense_graph_take_seconds():
     adj = {v: [w for w in range(1500) if w != v] for v in range(1500)}
     began = time.time()
