@@ -132,7 +132,7 @@ def gr_cluster(spark, sf):
 
 @query()
 def gr_pack_ids(spark, sf):
-    return graph.pack_ids(graph.clusters(_edges(spark, sf)), b.read(spark, sf, "documents").count())
+    return graph.pack_ids(graph.clusters(**_classes(spark, sf)), b.read(spark, sf, "documents").count())
 
 
 @query("SELECT container, (sum(bytes) OVER (ORDER BY container) - bytes)::BIGINT AS start, bytes FROM (SELECT doc_id >> 8 AS container, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY 1)")
