@@ -117,7 +117,7 @@ def gr_rank(spark, sf):
 
 @query()
 def gr_nibble(spark, sf):
-    return graph.nibble(_seeds(spark, sf), _edges(spark, sf))
+    return graph.nibble(_seeds(spark, sf), **_classes(spark, sf))
 
 
 @query("SELECT qid, count(*)::BIGINT AS n FROM (SELECT doc_id % 3 AS qid FROM documents) GROUP BY qid HAVING count(*) BETWEEN 1 AND 1000")
