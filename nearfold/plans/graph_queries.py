@@ -112,7 +112,7 @@ def _seeds(spark, sf):
 
 @query()
 def gr_rank(spark, sf):
-    return graph.expand(_seeds(spark, sf), _edges(spark, sf)).select("qid", "id", F.round("p", 6).alias("p"))
+    return graph.expand(_seeds(spark, sf), **_classes(spark, sf)).select("qid", "id", F.round("p", 6).alias("p"))
 
 
 @query()

@@ -289,7 +289,7 @@ def test_graph_of_classes_equals_graph_of_links(spark):
     assert rows(graph.nibble(seeds, **by_class)) == rows(graph.nibble(seeds, edge)) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["gr_cluster", "gr_pack_ids", "gr_nibble"])
+@pytest.mark.parametrize("name", ["gr_cluster", "gr_pack_ids", "gr_nibble", "gr_rank"])
 def test_copies_are_not_linked_one_by_one(spark, tmp_path, name):
     """2000 copies of a text have four million links; no table of them is written, and no row is lost."""
     from pathlib import Path
